@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import line_dedup, simhash_dedup
+from sievewright.llm import decontamination, language_id, line_dedup, mixing, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,25 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability")
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_language_id": op8_language_id,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES = {
@@ -42,5 +58,34 @@ lengths AS (SELECT doc_id, run, bool_or(kept) AS kept, count(*) AS n FROM runs G
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN kept THEN n ELSE 0 END) AS BIGINT) AS n_kept,
        CASE WHEN bool_or(run = 1 AND NOT kept) THEN '0,' ELSE '' END || string_agg(CAST(n AS VARCHAR), ',' ORDER BY run) AS keep_bitmap
 FROM lengths GROUP BY doc_id
+""",
+    "op9_mixing": """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, lang, coalesce(source, '(none)') AS s, coalesce(lang, '(none)') AS l, coalesce(text, '') AS t FROM documents),
+formed AS (
+  SELECT doc_id, source, lang, s, l,
+         CASE WHEN contains(t, 'License') OR contains(t, 'icensed under') THEN 'licence' WHEN contains(t, ' | ') THEN 'table'
+              WHEN contains(t, '@') OR contains(t, ' = "') THEN 'contact' ELSE 'prose' END AS topic,
+         CASE WHEN t = '' THEN 0 ELSE 2 * length(t) - length(replace(t, ' ', '')) - length(replace(t, chr(10), '')) + 1 END AS n
+  FROM docs),
+cells AS (SELECT s, l, topic, CAST(sum(n) AS DOUBLE) AS have FROM formed GROUP BY s, l, topic),
+total AS (SELECT 0.5 * sum(have) AS want FROM cells),
+ws AS (SELECT s, pow(sum(have), 0.5) AS p FROM cells GROUP BY s),
+wl AS (SELECT l, pow(sum(have), 0.7) AS p FROM cells GROUP BY l),
+wt AS (SELECT topic, pow(sum(have), 0.7) AS p FROM cells GROUP BY topic),
+goals AS (
+  SELECT cells.*, ws.p / (SELECT sum(p) FROM ws) * want AS gs, wl.p / (SELECT sum(p) FROM wl) * want AS gl, wt.p / (SELECT sum(p) FROM wt) * want AS gt
+  FROM cells JOIN ws USING (s) JOIN wl USING (l) JOIN wt USING (topic), total),
+raked AS (
+  SELECT 0 AS k, s, l, topic, have, gs, gl, gt, 0.5 * have AS w FROM goals
+  UNION ALL
+  SELECT k + 1, s, l, topic, have, gs, gl, gt, least(have, w3) FROM (
+    SELECT *, CASE WHEN sum(w2) OVER (PARTITION BY topic) > 0 THEN w2 * gt / sum(w2) OVER (PARTITION BY topic) ELSE 0 END AS w3 FROM (
+      SELECT *, CASE WHEN sum(w1) OVER (PARTITION BY l) > 0 THEN w1 * gl / sum(w1) OVER (PARTITION BY l) ELSE 0 END AS w2 FROM (
+        SELECT *, CASE WHEN sum(w) OVER (PARTITION BY s) > 0 THEN w * gs / sum(w) OVER (PARTITION BY s) ELSE 0 END AS w1 FROM raked WHERE k < 40)))),
+drawn AS (SELECT s, l, topic, CASE WHEN have > 0 THEN w / have ELSE 0 END AS p FROM raked WHERE k = 40)
+SELECT doc_id, source, lang, topic, CAST(n AS BIGINT) AS n_tokens, round(p, 6) AS probability
+FROM formed JOIN drawn USING (s, l, topic)
+WHERE CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':mix'), 1, 12)) AS BIGINT) / 281474976710656.0 < p
 """,
 }

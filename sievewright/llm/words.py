@@ -98,14 +98,23 @@ def doc_bounds(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offs, "left")
 
 
-def words(data: np.ndarray, offs: np.ndarray, keep: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, keep: np.ndarray, folded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, bounds) of the words of a block; bounds[i]:bounds[i+1] are text i's."""
-    if fold:
-        data = FOLD[data]
+    if folded:
+        data = fold(data)
     s, e = word_spans(data, offs, keep)
     return word_hashes(data, s, e), s, e, doc_bounds(s, offs)
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and of the Latin-1 letters (two-byte sequences that begin with C3)."""
+    x = FOLD[data]
+    i = np.flatnonzero(data[:-1] == 0xC3) + 1
+    v = x[i]
+    x[i] = np.where((v >= 0x80) & (v <= 0x9E) & (v != 0x97), v + 0x20, v)
+    return x
+
+
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Start of every run of equal keys, and the length at the end."""
     n = len(sorted_keys)
