@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import decontamination, language_id, line_dedup, mixing, simhash_dedup
+from sievewright.llm import decontamination, language_id, line_dedup, mixing, simhash_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
