@@ -5,13 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import decontamination, language_id, line_dedup, mixing, simhash_dedup, substring_dedup
+from sievewright.llm import (
+    decontamination,
+    language_id,
+    line_dedup,
+    mixing,
+    quality_forest,
+    secret_scan,
+    simhash_dedup,
+    substring_dedup,
+    token_counts,
+    url_filter,
+)
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+#: (rule_id, pattern, action): the list that op1 applies.
+URL_RULES = [
+    (1, "spam-farm.example.org/", "block"),
+    (2, "spam-farm.example.org/en/", "allow"),
+    (3, "example.net/es/", "block"),
+    (4, "tionsh.example.com/", "block"),
+    (5, "blog.tionsh.example.com/en/", "allow"),
+    (6, "example.com/de/", "block"),
+    (7, "example.org/fr", "block"),
+    (8, "m.example.org/", "block"),
+    (9, "ththth.example.net/en/", "allow"),
+    (10, "example.net/en/25", "block"),
+    (11, "www.ththon.example.org/de/", "allow"),
+    (12, "example.org/de/", "block"),
+    (13, "EXAMPLE.ORG:80/de/#part", "allow"),
+    (14, "example.com/fr/825?page=2&ref=x", "block"),
+    (15, "192.0.2.7/", "block"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule_id long, pattern string, action string")
+    return url_filter.match_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.keep_bitmaps(_table(spark, sf_dir, "documents")).drop("digest")
 
@@ -24,6 +65,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,16 +82,82 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability")
 
 
+def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_forest.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
+    "op10_quality_forest": op10_quality_forest,
 }
 
+_RULES = ", ".join(f"({i}, '{p}', '{a}')" for i, p, a in URL_RULES)
+
+
+def _split_sql(table: str, column: str, keep: str) -> str:
+    """The canonical host, path and full path of a URL column in DuckDB SQL."""
+    return f"""
+  SELECT {keep}, lower_host AS host, CASE WHEN bare = '' THEN '/' ELSE bare END AS path,
+         (CASE WHEN bare = '' THEN '/' ELSE bare END) || substr(rest, length(bare) + 1) AS full_path
+  FROM (SELECT *, split_part(rest, '?', 1) AS bare,
+               regexp_replace(lower(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', '')), '^[.]+|[.]+$', '', 'g') AS lower_host
+        FROM (SELECT *, substr(u, length(authority) + 1) AS rest
+              FROM (SELECT *, regexp_extract(u, '^[^/?]*') AS authority
+                    FROM (SELECT *, regexp_replace(split_part(trim(coalesce({column}, '')), '#', 1), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
+                          FROM {table}))))"""
+
+
+def _secrets_sql() -> str:
+    parts = []
+    for kind, (_, pattern, value) in secret_scan.PATTERNS.items():
+        parts.append(
+            f"""SELECT doc_id, repo, '{kind}' AS kind, regexp_extract(m, '{value}') AS v
+  FROM (SELECT doc_id, coalesce(source, '(none)') AS repo, unnest(regexp_extract_all(coalesce(text, ''), '{pattern}')) AS m FROM documents)"""
+        )
+    return (
+        "WITH found AS ("
+        + " UNION ALL ".join(parts)
+        + """),
+each AS (SELECT *, sha256(v) AS candidate_hash, len(list_distinct(string_split(v, ''))) AS symbols,
+                regexp_matches(lower(v), 'example|changeme|placeholder|dummy|your|xxxx|1234567') AS placeholder FROM found)
+SELECT kind, candidate_hash, count(*) AS occurrences, count(DISTINCT repo) AS repositories, count(DISTINCT split_part(repo, '/', 1)) AS owners,
+       min(doc_id) AS first_id,
+       CASE WHEN bool_or(placeholder) OR min(symbols) < 8 THEN 'placeholder' WHEN count(DISTINCT split_part(repo, '/', 1)) >= 3 THEN 'copied_example'
+            ELSE 'owner_specific' END AS verdict
+FROM each GROUP BY kind, candidate_hash"""
+    )
+
+
 ORACLES = {
+    "op1_url_filter": f"""
+WITH rules(rule_id, pattern, action) AS (VALUES {_RULES}),
+ruled AS (SELECT rule_id, action, host || full_path AS expression, len(string_split(host, '.')) AS labels, length(full_path) AS long FROM ({_split_sql("rules", "pattern", "rule_id, action")})),
+parts AS ({_split_sql("(SELECT DISTINCT page_id, url FROM pages)", "url", "page_id, url")}),
+lists AS (SELECT *, string_split(host, '.') AS hl, string_split(path, '/') AS pl FROM parts),
+spread AS (
+  SELECT page_id, url,
+         CASE WHEN host = '' THEN [] WHEN regexp_matches(host, '^[0-9.]+$|^\\[') THEN [host]
+              ELSE [array_to_string(hl[i:], '.') FOR i IN range(1, len(hl) + 1) IF i = 1 OR len(hl) - i >= 1] END AS hosts,
+         list_distinct([full_path, path] || [array_to_string(pl[:k], '/') || '/' FOR k IN range(1, len(pl))]) AS paths
+  FROM lists),
+expressions AS (SELECT page_id, url, h || unnest(paths) AS expression FROM (SELECT page_id, url, paths, unnest(hosts) AS h FROM spread)),
+hits AS (
+  SELECT page_id, url, rule_id, action, expression,
+         row_number() OVER (PARTITION BY page_id, url ORDER BY labels DESC, long DESC, action, rule_id) AS k
+  FROM expressions JOIN ruled USING (expression))
+SELECT p.page_id, p.url, coalesce(h.action, 'none') AS action, CAST(coalesce(h.rule_id, -1) AS BIGINT) AS rule_id, coalesce(h.expression, '') AS expression
+FROM (SELECT DISTINCT page_id, url FROM pages) p
+LEFT JOIN hits h ON h.k = 1 AND h.page_id IS NOT DISTINCT FROM p.page_id AND h.url IS NOT DISTINCT FROM p.url
+""",
+    "op6_secret_scan": _secrets_sql(),
     "op3_line_dedup": """
 WITH docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 parts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs),
