@@ -132,13 +132,13 @@ def mix(
             all_of = own.agg(F.sum("share")).first()[0] or 1.0
             frames[axis] = materialize(own.withColumn("share", F.col("share") / F.lit(all_of)), "shares")
         drawn = _rake_frames(cells, frames, budget, rounds).select(*AXES, "probability")
-    drawn = drawn.toDF("__source", "__lang", "__topic", "probability")
+    drawn = drawn.toDF("__source", "__lang", "__topic", "__p")
     drawn = F.broadcast(drawn) if n <= BROADCAST_CELLS else drawn.hint("shuffle_hash")
     own = [c for c in docs.columns if c not in ("topic", "n_tokens", "probability")]
     rows = docs.withColumns({"__topic": names["topic"], "__source": names["source"], "__lang": names["lang"]})
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(text))
     return (
         rows.join(drawn, ["__source", "__lang", "__topic"])
-        .where(_unit(key, seed) < F.col("probability"))
-        .select(*(F.col(f"`{c}`") for c in own), F.col("__topic").alias("topic"), token_count(F.col(text_col)).alias("n_tokens"), F.round("probability", 6).alias("probability"))
+        .where(_unit(key, seed) < F.col("__p"))
+        .select(*(F.col(f"`{c}`") for c in own), F.col("__topic").alias("topic"), token_count(F.col(text_col)).alias("n_tokens"), F.round("__p", 6).alias("probability"))
     )
