@@ -160,6 +160,7 @@ def _anchor_rows(parts: int, least: int, k: int):
             for rows, data, offs in W.blocks(batch, "text"):
                 h, _, _, bound = W.words(data, offs, W.VISIBLE, False)
                 at, g = anchors(h, bound, least, k)
+                g = W.mix(g)  # elected hashes are small ones; the shards need uniform numbers
                 doc = np.searchsorted(bound, at, "right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -206,7 +207,7 @@ def _contexts(parts: int, least: int, k: int):
         for batch in batches:
             for rows, data, offs in W.blocks(batch, "text"):
                 h, _, _, bound = W.words(data, offs, W.VISIBLE, False)
-                g = gram_hashes(h, k)
+                g = W.mix(gram_hashes(h, k))
                 small = h.astype(np.uint32)
                 ids, digests = rows.column(0).to_numpy(), rows.column(1).to_numpy()
                 place = rows.column(3)

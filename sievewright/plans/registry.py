@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from sievewright.plans import dedup_plans, quality_plans
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plans in (quality_plans, dedup_plans):
+    QUERIES |= _plans.QUERIES
+    ORACLES |= _plans.ORACLES
