@@ -1,4 +1,4 @@
-"""Comments, docstrings, compilability, language and perplexity of source code and text.
+"""Comments, docstrings, compilability and language of source code and text.
 
 Parsing needs Python; every function here is an Arrow-batched UDF that sets up once per batch or
 partition. A null source gives null.
@@ -8,15 +8,13 @@ from __future__ import annotations
 
 import ast
 import io
-import math
-import re
 import tokenize
 import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -196,68 +194,4 @@ def language_info(text: Column, classifier) -> Column:
 def language_report(df: DataFrame, language: Column, native: str = "en") -> DataFrame:
     """Rows and percentage of every language, and whether it is another than `native`."""
     counted = df.groupBy(language.alias("language")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     return counted.select("language", "n", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("pct"), (F.col("language") != native).alias("foreign"))
-
-
-def lm_tokens(text: str) -> list[str]:
-    """Pieces for the language model: words, single symbols, nothing else."""
-    return re.findall(r"\w+|[^\w\s]", text)
-
-
-def ngram_counts(df: DataFrame, text_col: str, order: int) -> DataFrame:
-    """(n, gram, next, count): counts of every token after every shorter history, over the whole corpus."""
-
-    def run(frames):
-        for pdf in frames:
-            rows: dict = {}
-            for text in pdf["text"].dropna():
-                toks = ["<s>", *lm_tokens(text), "</s>"]
-                for i in range(1, len(toks)):
-                    for n in range(min(order, i + 1)):
-                        key = (n, " ".join(toks[i - n : i]), toks[i])
-                        rows[key] = rows.get(key, 0) + 1
-            yield pd.DataFrame([(*k, c) for k, c in rows.items()], columns=["n", "gram", "next", "count"])
-
-    partial = df.select(F.col(text_col).alias("text")).mapInPandas(run, "n int, gram string, next string, count long")
-    return partial.groupBy("n", "gram", "next").agg(F.sum("count").alias("count"))
-
-
-class BackoffModel:
-    """Interpolated absolute discounting over the counts of ngram_counts(), held in memory."""
-
-    def __init__(self, counts: pd.DataFrame, order: int, discount: float = 0.75):
-        self.order, self.discount = order, discount
-        self.count = {(r.gram, r.next): r.count for r in counts[["gram", "next", "count"]].itertuples(index=False)}
-        self.total: dict = {}
-        self.kinds: dict = {}
-        for (gram, _), c in self.count.items():
-            self.total[gram] = self.total.get(gram, 0) + c
-            self.kinds[gram] = self.kinds.get(gram, 0) + 1
-        self.vocabulary = self.kinds.get("", 0) + 1
-
-    def probability(self, history: tuple[str, ...], token: str) -> float:
-        p = 1.0 / self.vocabulary
-        for n in range(len(history) + 1):
-            gram = " ".join(history[len(history) - n :])
-            total = self.total.get(gram)
-            if not total:
-                break
-            p = max(self.count.get((gram, token), 0) - self.discount, 0.0) / total + self.discount * self.kinds[gram] / total * p
-        return p
-
-    def log10(self, text: str) -> tuple[float, int]:
-        toks = ["<s>", *lm_tokens(text), "</s>"]
-        score = sum(math.log10(self.probability(tuple(toks[max(0, i - self.order + 1) : i]), toks[i])) for i in range(1, len(toks)))
-        return score, len(toks) - 2
-
-
-def perplexity(text: Column, model: BackoffModel) -> Column:
-    """10 ** (-log10 score / pieces), to one decimal; null for a text without pieces."""
-
-    def one(t):
-        score, n = model.log10(t)
-        return round(10 ** (-score / n), 1) if n else None
-
-    return _mapped("double", one)(text)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEYWORDS = ("travis", "jenkins", "botmanager", "[bot]", "k8s-", "bors-", "-test-")
 ENDINGS = ("bot", "-ci", "-test", "-testing", "-linter", "-cloud", "-build", "-benchmark", "-deployer", "-automation", "-automaton", "-teamcity")
@@ -114,7 +115,7 @@ def strip_mail_text(text: str | None) -> str:
     return re.sub("_{20,}", "", text).strip()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _strip_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for lists in batches:
         yield lists.map(lambda x: None if x is None else [strip_mail_text(t) for t in x])
