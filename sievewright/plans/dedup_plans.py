@@ -9,7 +9,6 @@ from sievewright.operators import decontaminate, dedup, minhash, stats
 from sievewright.plans.common import sql_tokens, table
 
 
-
 def distinct_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(token_set(F.col("text"))).cast("long").alias("n_distinct"))
 
@@ -141,20 +140,26 @@ QUERIES = {
 _HASH = "CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT)"
 
 
+_LOW32, _TWO32 = "4294967295::UBIGINT", "4294967296::UBIGINT"
+
+
 def _perms(n: int) -> str:
-    return ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(zip(*minhash.permutations(n))))
+    """(perm, a, b) with a and b as 32-bit halves, so that 64-bit arithmetic does."""
+    low = (1 << 32) - 1
+    halves = [(i, int(a) & low, int(a) >> 32, int(b) & low, int(b) >> 32) for i, (a, b) in enumerate(zip(*minhash.permutations(n)))]
+    return ", ".join(f"({i}, {', '.join(f'{x}::UBIGINT' for x in xs)})" for i, *xs in halves)
 
 
 def _signed(table_: str, key: str, perms: int) -> str:
     """WITH parts that give signed(id, perm, value) over word 5-grams."""
     return f"""
-perms(perm, a, b) AS (VALUES {_perms(perms)}),
+perms(perm, a0, a1, b0, b1) AS (VALUES {_perms(perms)}),
 words AS (SELECT {key} AS id, string_split_regex(text, '[^A-Za-z_0-9]') AS w FROM {table_}),
 grams AS (SELECT id, unnest(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) AS g FROM words),
-hashed AS (SELECT id, {_HASH}::HUGEINT AS v FROM (SELECT id, sha1(g) AS h FROM grams)),
+hashed AS (SELECT id, {_HASH}::UBIGINT AS v FROM (SELECT id, sha1(g) AS h FROM grams)),
 least AS (
-  SELECT id, perm, min((((v * a) % 18446744073709551616::HUGEINT + b) % 18446744073709551616::HUGEINT) % 2305843009213693951::HUGEINT % 4294967296::HUGEINT) AS value
-  FROM hashed, perms GROUP BY id, perm),
+  SELECT id, perm, min((((p >> 32) + v * a1 % {_TWO32} + b1 + (((p & {_LOW32}) + b0) >> 32)) % {_TWO32} * {_TWO32} + (((p & {_LOW32}) + b0) & {_LOW32})) % 2305843009213693951::UBIGINT & {_LOW32}) AS value
+  FROM (SELECT id, perm, v, a1, b0, b1, v * a0 AS p FROM hashed, perms) GROUP BY id, perm),
 signed AS (SELECT w.id, p.perm, CAST(coalesce(l.value, 4294967295) AS BIGINT) AS value FROM words w CROSS JOIN perms p LEFT JOIN least l ON l.id = w.id AND l.perm = p.perm)"""
 
 

@@ -35,7 +35,7 @@ def comment_sizes(spark, d):
     """Comments by lexer: a Java text of every document."""
     code = F.concat(F.lit("/* about "), "source", F.lit(" */\nint x = 1; // "), "lang", F.lit("\n"))
     df = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "no such language").otherwise("java").alias("kind"), code.alias("code"))
-    return df.select("doc_id", extract.comment_size(F.col("code"), F.col("kind")).alias("size"))
+    return df.select("doc_id", F.coalesce(extract.comment_size(F.col("code"), F.col("kind")), F.lit(-1)).alias("size"))
 
 
 def compile_flags(spark, d):
@@ -215,7 +215,7 @@ ORACLES = {
     "natural_text": """
 SELECT doc_id, t AS nl_text, length(t) AS nl_size, round(length(t) / (length('\"\"\"Notes on .\"\"\"') + length(source) + length(lang) + length(CAST(doc_id AS VARCHAR)) + 29 + CASE WHEN doc_id % 2 = 1 THEN 8 ELSE 0 END), 6) AS nl_ratio
 FROM (SELECT *, CASE WHEN doc_id % 2 = 1 THEN '' ELSE 'Notes on ' || source || '.' || chr(10) || chr(10) || ' ' END || 'written in ' || lang || ' 1 id' AS t FROM documents)""",
-    "comment_sizes": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE length('/* about ' || source || ' */') + length('// ' || lang) END AS size FROM documents",
+    "comment_sizes": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE length('/* about ' || source || ' */') + length('// ' || lang) END AS size FROM documents",
     "compile_flags": "SELECT doc_id, doc_id % 2 = 0 AS compiles FROM documents",
     "compile_report": "SELECT count(*) AS total, count(*) FILTER (doc_id % 2 = 0) AS valid, round(count(*) FILTER (doc_id % 2 = 1) * 100.0::DOUBLE / count(*), 6) AS invalid_pct FROM documents",
     "perplexity": f"WITH {_PERPLEXITY} SELECT * FROM ppl",

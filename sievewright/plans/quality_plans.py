@@ -9,7 +9,6 @@ from sievewright.operators import projection, quality, stats
 from sievewright.plans.common import sql_config, sql_count, sql_head, sql_lines, table
 
 
-
 def config_or_test_flags(spark, d):
     return table(spark, d, "documents").select("doc_id", quality.is_config_or_test(F.col("text")).alias("config_or_test"))
 

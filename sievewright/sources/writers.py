@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.session import materialize
+
 
 def shard_count(total_bytes: int, shard_bytes: int = 1000 << 20, share: float = 1.0) -> int:
     return int(total_bytes * share / shard_bytes) + 1
@@ -28,11 +30,9 @@ def write_token_text(df: DataFrame, path: str, tokens_col: str) -> None:
 
 def write_split(df: DataFrame, flag: Column, kept_path: str, removed_path: str) -> None:
     """Rows where flag is true go to removed_path and the rest, nulls included, to kept_path, in one evaluation."""
-    marked = df.withColumn("__removed", F.coalesce(flag, F.lit(False)))
-    marked.write.mode("overwrite").partitionBy("__removed").parquet(f"{kept_path}.both")
-    both = df.sparkSession.read.parquet(f"{kept_path}.both")
-    both.where(~F.col("__removed")).drop("__removed").write.mode("overwrite").parquet(kept_path)
-    both.where("__removed").drop("__removed").write.mode("overwrite").parquet(removed_path)
+    marked = materialize(df.withColumn("__removed", F.coalesce(flag, F.lit(False))), "split")
+    marked.where(~F.col("__removed")).drop("__removed").write.mode("overwrite").parquet(kept_path)
+    marked.where("__removed").drop("__removed").write.mode("overwrite").parquet(removed_path)
 
 
 def merge_counters(df: DataFrame, key: str, value: str) -> DataFrame:
