@@ -190,12 +190,12 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
     Columns and their order stay. A text that was null or blank already stays as it is.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    key, digest, bitmap, new = W.free_names(docs.columns, "__id", "__digest", "__bitmap", "__text")
     drop = bitmaps.where("n_kept < n_lines").select(
-        F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("__id"), F.col("digest").alias("__digest"), F.col("keep_bitmap").alias("__bitmap")
+        F.coalesce(F.col(id_col), F.lit(NO_ID)).alias(key), F.col("digest").alias(digest), F.col("keep_bitmap").alias(bitmap)
     )
-    left = docs.withColumns({"__id": key, "__digest": F.xxhash64(F.coalesce(text_col, F.lit("")))})
-    joined = left.join(drop.hint("shuffle_hash"), ["__id", "__digest"], "left")
+    left = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), digest: F.xxhash64(F.coalesce(text_col, F.lit("")))})
+    joined = left.join(drop.hint("shuffle_hash"), [key, digest], "left")
 
     @F.pandas_udf("string")
     def thin(texts, maps):
@@ -208,11 +208,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
             out.append("\n".join(line for line, k in zip(t.split("\n"), kept) if k))
         return texts.__class__(out, dtype=object)
 
-    changed = F.col("__bitmap").isNotNull()
-    text = F.when(changed, thin(F.col(text_col), F.col("__bitmap"))).otherwise(F.col(text_col))
+    changed = F.col(bitmap).isNotNull()
+    text = F.when(changed, thin(F.col(text_col), F.col(bitmap))).otherwise(F.col(text_col))
     # white space of these kinds alone is what the line hashes call blank
     return (
-        joined.withColumn("__text", text)
-        .where(~changed | F.col("__text").rlike(r"[^ \t\n\x0B\f\r]"))
-        .select([F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+        joined.withColumn(new, text)
+        .where(~changed | F.col(new).rlike(r"[^ \t\n\x0B\f\r]"))
+        .select([F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
     )

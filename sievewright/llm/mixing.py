@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.llm import words as W
 from sievewright.session import materialize
 
 NONE = "(none)"
@@ -132,13 +133,15 @@ def mix(
             all_of = own.agg(F.sum("share")).first()[0] or 1.0
             frames[axis] = materialize(own.withColumn("share", F.col("share") / F.lit(all_of)), "shares")
         drawn = _rake_frames(cells, frames, budget, rounds).select(*AXES, "probability")
-    drawn = drawn.toDF("__source", "__lang", "__topic", "__p")
+    axes = W.free_names(docs.columns, "__source", "__lang", "__topic")
+    (p,) = W.free_names(docs.columns, "__p")
+    drawn = drawn.toDF(*axes, p)
     drawn = F.broadcast(drawn) if n <= BROADCAST_CELLS else drawn.hint("shuffle_hash")
     own = [c for c in docs.columns if c not in ("topic", "n_tokens", "probability")]
-    rows = docs.withColumns({"__topic": names["topic"], "__source": names["source"], "__lang": names["lang"]})
+    rows = docs.withColumns(dict(zip(axes, (names[a] for a in AXES))))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(text))
     return (
-        rows.join(drawn, ["__source", "__lang", "__topic"])
-        .where(_unit(key, seed) < F.col("__p"))
-        .select(*(F.col(f"`{c}`") for c in own), F.col("__topic").alias("topic"), token_count(F.col(text_col)).alias("n_tokens"), F.round("__p", 6).alias("probability"))
+        rows.join(drawn, axes)
+        .where(_unit(key, seed) < F.col(p))
+        .select(*(F.col(f"`{c}`") for c in own), F.col(axes[2]).alias("topic"), token_count(F.col(text_col)).alias("n_tokens"), F.round(p, 6).alias("probability"))
     )

@@ -333,9 +333,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the words of spans, and the white space after them, cut from text_col; columns stay."""
-    cut = spans.groupBy(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
-    left = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": F.xxhash64(text_col)})
-    joined = left.join(cut.hint("shuffle_hash"), ["__id", "__digest"], "left")
+    key, digest, found, new = W.free_names(docs.columns, "__id", "__digest", "__spans", "__text")
+    cut = spans.groupBy(F.col(id_col).alias(key), F.col("digest").alias(digest)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(found))
+    left = docs.withColumns({key: F.col(id_col).cast("long"), digest: F.xxhash64(text_col)})
+    joined = left.join(cut.hint("shuffle_hash"), [key, digest], "left")
 
     @F.pandas_udf("string")
     def thin(texts, lists):
@@ -355,5 +356,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
             out.append((b"".join(keep) + raw[at:]).decode())
         return texts.__class__(out, dtype=object)
 
-    text = F.when(F.col("__spans").isNotNull(), thin(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
-    return joined.withColumn("__text", text).select([F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col(found).isNotNull(), thin(F.col(text_col), F.col(found))).otherwise(F.col(text_col))
+    return joined.withColumn(new, text).select([F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

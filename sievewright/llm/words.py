@@ -121,3 +121,14 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [n]])
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column is called so in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
