@@ -80,6 +80,7 @@ def by_users(low: int = 200, high: int = 700, most_events: int = 10) -> Column:
 
 
 _REPLY, _VIEW, _SENDER = "Reply to this email directly", "view it on GitHub", "notifications@github.com"
+_STAMP = r"(?:\d+/){2}\d+ \d\d:\d\d [AP]M"
 
 
 def strip_mail_text(text: str | None) -> str:
@@ -105,7 +106,7 @@ def strip_mail_text(text: str | None) -> str:
     else:
         rows, head, tail = text.split("\n"), 0, -1
         for k, row in enumerate(map(str.strip, rows)):
-            if _SENDER in row or re.search(r"\d+/\d+/\d+ \d{2}:\d{2} [AP]M.+wrote", row):
+            if _SENDER in row or re.search(rf"{_STAMP}.+wrote", row):
                 head = k
             if _REPLY in row:
                 tail = k + row.endswith(":")
@@ -125,7 +126,7 @@ def strip_mail(df: DataFrame, events: str = "events") -> DataFrame:
     """strip_mail_text() on the text of every event; threads without a telltale string skip Python."""
     fields = _fields(df, events)
     texts = F.transform(events, lambda e: e["text"])
-    marks = rf"{_REPLY}|{_SENDER}|Signed-off-by: |(?m)^\s*>|_{{20,}}|\d+/\d+/\d+ \d{{2}}:\d{{2}} [AP]M"
+    marks = rf"{_REPLY}|{_SENDER}|Signed-off-by: |(?m)^\s*>|_{{20,}}|{_STAMP}"
     touched = F.exists(events, lambda e: F.coalesce(e["text"].rlike(marks), F.lit(False)))
     out = df.withColumn("__plain", F.when(touched, _strip_all(F.when(touched, texts))))
     from sievewright.functions.text import strip

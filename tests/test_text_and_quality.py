@@ -50,7 +50,7 @@ def test_other_rules(spark):
 
 
 def test_math_expressions(spark):
-    texts = [r"$$x^2 + y^2 = r^2$$ and another one: \[E=mc^2\]", "Test $$$$", r"\(1\) \(a\)", "$$a\nb$$", "$$a\rb$$"]
+    texts = [r"as $$u_1 \le v$$, hence \[v=2u\] follows", "Test $$$$", r"\(1\) \(a\)", "$$a\nb$$", "$$a\rb$$"]
     assert values(spark, texts, quality.math_expressions) == [2, 0, 1, 0, 1]
 
 
