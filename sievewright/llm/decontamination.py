@@ -13,7 +13,8 @@ retrieved counts as contamination when both the item's question and its answer o
 passage in enough word 3-grams.
 
 The index is sent to the executors, so its size is checked: beyond `shard_items` items it is built
-in shards, one narrow pass over the corpus each.
+in shards, one narrow pass over the corpus each. All shards share the statistics and the stride of
+the whole benchmark, so rows and scores don't depend on shard_items.
 """
 
 from __future__ import annotations
@@ -62,20 +63,42 @@ def overlap(part: np.ndarray, passage: np.ndarray) -> float:
     return float(np.isin(g, grams(passage, n)).mean())
 
 
+class Statistics:
+    """Items, mean and greatest length and document frequencies of the items with a word; add() takes the items part by part."""
+
+    def __init__(self):
+        self.n = self.words = 0
+        self.longest = 1
+        self.terms, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, whole: list[np.ndarray]) -> Statistics:
+        whole = [w for w in whole if len(w)]
+        if whole:
+            self.n += len(whole)
+            self.words += sum(map(len, whole))
+            self.longest = max(self.longest, *map(len, whole))
+            terms, df = np.unique(np.concatenate([np.unique(w) for w in whole]), return_counts=True)
+            self.terms, at = np.unique(np.concatenate([self.terms, terms]), return_inverse=True)
+            self.df = np.bincount(at, np.concatenate([self.df, df])).astype(np.int64)
+        return self
+
+
 class Index:
-    """Postings of normalised BM25 weights with block maxima."""
+    """Postings of normalised BM25 weights with block maxima; of a shard when given the statistics of all items."""
 
-    def __init__(self, ids: list, questions: list[np.ndarray], answers: list[np.ndarray], threshold: float):
+    def __init__(self, ids: list, questions: list[np.ndarray], answers: list[np.ndarray], threshold: float, stats: Statistics | None = None):
         whole = [np.concatenate([q, a]) for q, a in zip(questions, answers)]
         keep = [i for i, w in enumerate(whole) if len(w)]
         self.ids, self.questions, self.answers = [ids[i] for i in keep], [questions[i] for i in keep], [answers[i] for i in keep]
         whole = [whole[i] for i in keep]
+        stats = stats or Statistics().add(whole)
         self.threshold, n = threshold, len(whole)
-        self.stride = max([len(w) for w in whole], default=1)
+        self.stride = stats.longest
         tf = [np.unique(w, return_counts=True) for w in whole]
-        self.terms, df = np.unique(np.concatenate([t for t, _ in tf]) if tf else np.zeros(0, np.uint64), return_counts=True)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = sum(map(len, whole)) / max(1, n)
+        self.terms = np.unique(np.concatenate([t for t, _ in tf]) if tf else np.zeros(0, np.uint64))
+        df = stats.df[np.searchsorted(stats.terms, self.terms)]
+        idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
+        mean = stats.words / max(1, stats.n)
         lists: list[list] = [[] for _ in self.terms]
         rare: list[list] = [[] for _ in self.terms]
         self.slack = np.zeros(n)  # the weight of the terms that the first step leaves out
@@ -217,13 +240,14 @@ def build_indexes(
     answer = F.coalesce(F.col(answer_col), F.lit("")) if answer_col else F.lit("")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("q"), answer.alias("a")).distinct()
     items = items.orderBy("i", "q", "a")
-    out, rows = [], []
+    shards, rows, stats = [], [], Statistics()
 
     def close():
         qs, ans = hashes_of([r["q"] for r in rows]), hashes_of([r["a"] for r in rows])
         if not answer_col:
             qs, ans = zip(*map(split_item, qs))
-        out.append(Index([r["i"] for r in rows], list(qs), list(ans), threshold))
+        stats.add([np.concatenate([q, a]) for q, a in zip(qs, ans)])
+        shards.append(([r["i"] for r in rows], list(qs), list(ans)))
         rows.clear()
 
     for r in items.toLocalIterator():
@@ -232,7 +256,7 @@ def build_indexes(
             close()
     if rows:
         close()
-    return out
+    return [Index(*shard, threshold, stats) for shard in shards]
 
 
 def contaminated(

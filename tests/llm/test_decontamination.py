@@ -114,3 +114,12 @@ def test_empty_tables(spark, docs_of):
     assert D.contaminated(docs_of([(1, "some item text")]), bench.limit(0)).count() == 0
     null_id = D.contaminated(docs_of([(None, "some item text"), (None, "some item text")]), bench).collect()
     assert [(r["doc_id"], r["item_id"]) for r in null_id] == [(None, 1)]
+
+
+def test_rows_and_scores_do_not_depend_on_the_shards(spark, docs_of, case):
+    rows, items = case
+    bench = spark.createDataFrame(items, ITEMS)
+    got = [sorted(map(tuple, D.contaminated(docs_of(rows), bench, threshold=0.4, min_overlap=0.3, shard_items=n).collect())) for n in (50_000, 40, 17)]
+    assert got[0] and got[0] == got[1] == got[2]
+    kept = [sorted(r["doc_id"] for r in D.drop_contaminated(docs_of(rows), bench, shard_items=n).collect()) for n in (50_000, 17)]
+    assert kept[0] == kept[1]
