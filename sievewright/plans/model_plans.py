@@ -46,6 +46,43 @@ def compile_report(spark, d):
     return extract.compile_report(_sources(spark, d), "code").withColumn("invalid_pct", F.round("invalid_pct", 6))
 
 
+def _whole_sources(spark, d):
+    """The whole text of every document as docstring and as comment lines; odd ids have it as code too, so the text decides whether they compile."""
+    text = F.coalesce("text", F.lit(""))
+    quoted = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    noted = F.regexp_replace(text, "\r\n|\r|\n", "\n# ")
+    doc = F.concat(F.lit('"""'), quoted, F.lit('"""\n# '), noted, F.lit("\nx = "), F.col("doc_id").cast("string"), F.lit("  # id\n"))
+    return table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 1, F.concat(doc, text, F.lit("\n"))).otherwise(doc).alias("code"))
+
+
+def python_comments_whole(spark, d):
+    return _whole_sources(spark, d).select("doc_id", extract.python_comments(F.col("code"), True).alias("comments"))
+
+
+def python_docstrings_whole(spark, d):
+    return _whole_sources(spark, d).select("doc_id", F.array_join(extract.python_docstrings(F.col("code")), "|").alias("docstrings"))
+
+
+def natural_text_whole(spark, d):
+    return extract.with_natural_text(_whole_sources(spark, d), "code").select("doc_id", "nl_text", "nl_size", F.round("nl_ratio", 6).alias("nl_ratio"))
+
+
+def comment_sizes_whole(spark, d):
+    """The whole text of every document as a block comment and as line comments of a Java text."""
+    text = F.coalesce("text", F.lit(""))
+    block, lines = F.replace(text, F.lit("*/"), F.lit("* /")), F.regexp_replace(text, "\r\n|\r|\n", "\n// ")
+    code = F.concat(F.lit("/* "), block, F.lit(" */\nint x = 1; // "), lines, F.lit("\n"))
+    return table(spark, d, "documents").select("doc_id", extract.comment_size(code, F.lit("java")).alias("size"))
+
+
+def compile_flags_whole(spark, d):
+    return _whole_sources(spark, d).select("doc_id", extract.compiles(F.col("code")).alias("compiles"))
+
+
+def compile_report_whole(spark, d):
+    return extract.compile_report(_whole_sources(spark, d), "code").withColumn("invalid_pct", F.round("invalid_pct", 6))
+
+
 def line_languages(spark, d):
     """Languages of whole texts and of their lines by a classifier fitted on the benchmark of the fixture languages."""
     known = extract.NgramClassifier().fit([(t, lang) for lang, t in LANGUAGE_SAMPLES])
@@ -160,6 +197,12 @@ QUERIES = {
         comment_sizes,
         compile_flags,
         compile_report,
+        python_comments_whole,
+        python_docstrings_whole,
+        natural_text_whole,
+        comment_sizes_whole,
+        compile_flags_whole,
+        compile_report_whole,
         line_languages,
         perplexity,
         perplexity_bands,

@@ -1,0 +1,36 @@
+"""Extraction registered over whole texts, against plain Python."""
+
+import inspect
+import re
+
+import pytest
+
+from sievewright.plans import model_plans as M
+
+TEXTS = ["plain words", "def f(x):\n    return x", "x = = 2", 'quotes " and \"\"\" and \\ end\\', "# a comment */ in\r\nthree\rlines\n", "y = 1  # note", None, "", "long line " * 20_000, "    indented\n\n  less", "z = 3"]
+
+
+@pytest.fixture(scope="module")
+def at(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("whole"))
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_whole_texts(spark, at):
+    read = lambda q: {r[0]: r for r in q(spark, at).collect()}
+    comments, docs, flags, natural, sizes = map(read, (M.python_comments_whole, M.python_docstrings_whole, M.compile_flags_whole, M.natural_text_whole, M.comment_sizes_whole))
+    assert set(flags) == set(range(len(TEXTS)))
+    for i, t in enumerate(TEXTS):
+        t = t or ""
+        lines = re.split("\r\n|\r|\n", t)
+        assert flags[i]["compiles"] == (i % 2 == 0 or t in (TEXTS[1], "y = 1  # note", "")), i
+        if i % 2 == 0:
+            want = "".join("# " + x for x in lines).replace("#", "") + " id"
+            doc = inspect.cleandoc("\n".join(lines))
+            assert comments[i]["comments"] == want and docs[i]["docstrings"] == doc
+            assert natural[i]["nl_text"] == f"{doc}\n\n{want}".strip() and natural[i]["nl_size"] == len(natural[i]["nl_text"])
+        if "\r" not in t:
+            assert sizes[i]["size"] == len(f"/* {t} */") + sum(len("// " + x) for x in lines)
+    report = M.compile_report_whole(spark, at).first()
+    assert report["total"] == len(TEXTS) and report["valid"] == sum(r["compiles"] for r in flags.values())
