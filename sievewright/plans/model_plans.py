@@ -109,6 +109,22 @@ def ngram_model(spark, d):
     return language_model.train(table(spark, d, "benchmark"), "text", 2)
 
 
+def perplexity_5gram(spark, d):
+    docs = table(spark, d, "documents")
+    out = language_model.perplexities(docs, ngram_model_5gram(spark, d), "doc_id", "text", 5)
+    return out.select("doc_id", "n_pieces", F.round("perplexity", 4).alias("perplexity"))
+
+
+def perplexity_bands_5gram(spark, d):
+    p = F.col("perplexity")
+    return perplexity_5gram(spark, d).agg(F.count("*").alias("docs"), F.count_if(p > 7).alias("above_7"), F.count_if(p > 20).alias("above_20"))
+
+
+def ngram_model_5gram(spark, d):
+    """The counts of a 5-gram model of the documents."""
+    return language_model.train(table(spark, d, "documents"), "text", 5)
+
+
 def kmeans_sizes(spark, d):
     return clustering.kmeans(table(spark, d, "embeddings"), "embedding", 5).groupBy("cluster").agg(F.count("*").alias("n"))
 
@@ -207,6 +223,9 @@ QUERIES = {
         perplexity,
         perplexity_bands,
         ngram_model,
+        perplexity_5gram,
+        perplexity_bands_5gram,
+        ngram_model_5gram,
         kmeans_sizes,
         silhouettes,
         cluster_mean,
