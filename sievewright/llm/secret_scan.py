@@ -22,6 +22,13 @@ PATTERNS = {
     "web_token": ("eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ.*"),
     "chat_token": ("xox", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 }
+#: What is searched for "assignment": any form of PATTERNS (which the SQL keeps to), and keywords with a suffix or a closing
+#: quote or bracket (JSON, subscripts), more blanks, single quotes, and unquoted values that end at a blank, comma or bracket.
+ASSIGNMENT = (
+    r"(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo]?[Rr]?[Dd])[A-Za-z0-9_.-]{0,40}[\"']?\]?[ \t]{0,40}(?::=|=>|[:=])[ \t]{0,40}"
+    r"(?:\"[^\"\s]{8,}\"|'[^'\s]{8,}'|(?![$=])[^\s\"'`,;(){}\[\]<>]{8,}(?=[\s,;)}\]]|$))"
+)
+ASSIGNED = r"(?::=|=>|[:=])[ \t]*(.+)$"
 MANY_OWNERS = 3
 FEW_SYMBOLS = 8
 NONE = "(none)"
@@ -29,6 +36,11 @@ NONE = "(none)"
 
 def _found(text: Column, kind: str) -> Column:
     sure, pattern, value = PATTERNS[kind]
+    if kind == "assignment":
+        # one credential is one candidate however it is quoted: the bare value, always within double quotes
+        bare = lambda m: F.regexp_replace(F.regexp_extract(m, ASSIGNED, 1), r"^[\"']|[\"']$", "")
+        got = F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(0))
+        return F.transform(got, lambda m: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit('"'), bare(m), F.lit('"')).alias("value")))
     got = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if sure:
         got = F.when(F.contains(text, F.lit(sure)), got).otherwise(F.array().cast("array<string>"))

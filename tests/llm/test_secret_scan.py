@@ -31,3 +31,11 @@ def test_repeated_rows_and_empty_table(docs_of):
     out = S.scan(docs_of([row, row])).collect()
     assert [(r["kind"], r["occurrences"], r["repositories"]) for r in out] == [("hosting_token", 2, 1)]
     assert S.scan(docs_of([])).count() == 0
+
+
+def test_common_forms_of_one_credential(docs_of):
+    v = "hunter2hunter2"
+    forms = [f'password = "{v}"', f"password = '{v}'", f'{{"password": "{v}"}}', f'SECRET_KEY = "{v}"', f"aws_secret_access_key={v}", f"API_KEY={v}\nX=1", f"token   :\t{v}", f"env['API_KEY'] = '{v}'"]
+    rows = [(i, t, "en", f"owner{i}/r", 1) for i, t in enumerate(forms)] + [(90, "token = fetch_token(request); token = $API_TOKEN_NAME", "en", "z/z", 1)]
+    got = S.scan(docs_of(rows)).collect()
+    assert [(r["candidate_hash"], r["occurrences"], r["owners"]) for r in got] == [(hashlib.sha256(f'"{v}"'.encode()).hexdigest(), len(forms), len(forms))]
