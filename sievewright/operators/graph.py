@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.session import materialize
+from sievewright.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     rounds is logarithmic in the component size, work per round is linear in the edges, and
     a vertex's neighbourhood is only ever reduced to its minimum, never collected. Each
     round's edges are written to the shared folder, so that a lost executor costs a stage and
-    not the whole history.
+    not the whole history, and the round before is deleted.
 
     Returns (id, component). Self loops give a component of one; null ends are ignored; an
     empty table gives an empty table.
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     e = materialize(e, "cc")
     loops = e.where("u = v").select(F.col("u").alias("id"))
-    e = e.where("u <> v")
+    e, last = e.where("u <> v"), None
     before = None
     for _ in range(max_rounds):
         # large-star: every greater neighbour of a vertex is tied to the vertex's least neighbour
@@ -46,6 +46,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .distinct()
         )
         e = materialize(small, "cc")
+        if last is not None:
+            discard(last)
+        last = e
         # stable once the edge set repeats: an order-free digest of it is compared
         now = e.agg(
             F.count("*").alias("n"),

@@ -69,9 +69,30 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write df once to the shared folder and read it back: the plan is cut there.
 
     Unlike an executor-local checkpoint this survives the loss of any executor, and unlike
-    DataFrame.checkpoint() it runs the plan a single time.
+    DataFrame.checkpoint() it runs the plan a single time. The files go when the application ends,
+    or before that by discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialize() gave, once everything that reads them has run."""
+    for df in tables:
+        delete(df.sparkSession, df.written_to)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _files(spark, path)
+    files.delete(at, True)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
