@@ -115,19 +115,43 @@ def _split_sql(table: str, column: str, keep: str) -> str:
                           FROM {table}))))"""
 
 
+#: Written by hand, apart from the operator's patterns: kind, pattern and expression of the value m.
+_SECRETS = [
+    ("access_key", "AKIA[A-Z0-9]{16}", "m"),
+    (
+        "assignment",
+        """([Aa][Pp][Ii][-_]?[Kk][Ee][Yy]|[Aa][Cc][Cc][Ee][Ss][Ss][-_]?[Kk][Ee][Yy]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Pp][Aa][Ss][Ss][Ww][Oo]?[Rr]?[Dd])"""
+        """[-_.A-Za-z0-9]{0,40}["'']?[]]?[ \\t]{0,40}(:=|=>|:|=)[ \\t]{0,40}"""
+        """("[^\\x00-\\x20"]{8,}"|''[^\\x00-\\x20'']{8,}''|[^\\x00-\\x20"''`,;(){}\\[\\]<>$=][^\\x00-\\x20"''`,;(){}\\[\\]<>]{7,}([\\x00-\\x20,;)}\\]]|$))""",
+        """CASE WHEN regexp_matches(v0, '^["'']') THEN substr(v0, 2, length(v0) - 2) WHEN regexp_matches(v0, '[0-9]') THEN regexp_replace(v0, '[\\x00-\\x20,;)}\\]]$', '') END""",
+    ),
+    ("hosting_token", "gh(p|o|u|s|r)_[0-9A-Za-z]{36}", "m"),
+    (
+        "private_key",
+        "-----BEGIN [ A-Z0-9]*PRIVATE KEY( BLOCK)?-----[^-]*(-[^-]+){0,4}",
+        """CASE WHEN length(body) >= 16 THEN body END""",
+    ),
+    ("web_token", "eyJ[-_A-Za-z0-9]{8,}[.][-_A-Za-z0-9]{8,}[.][-_A-Za-z0-9]{8,}", "m"),
+    ("chat_token", "xox[abprs]-[-A-Za-z0-9]{10,}", "m"),
+    ("service_key", "AIza[-_A-Za-z0-9]{35}|(r|s)k_live_[A-Za-z0-9]{16,}|glpat-[-_A-Za-z0-9]{20}|npm_[A-Za-z0-9]{36}", "m"),
+    ("url_password", """://[-+%._A-Za-z0-9]{1,64}:[^\\x00-\\x20/:@"''<>]{4,128}@""", "split_part(substr(m, 4, length(m) - 4), ':', 2)"),
+]
+
+
 def _secrets_sql() -> str:
-    parts = []
-    for kind, (_, pattern, value) in secret_scan.PATTERNS.items():
-        parts.append(
-            f"""SELECT doc_id, repo, '{kind}' AS kind, regexp_extract(m, '{value}') AS v
-  FROM (SELECT doc_id, coalesce(source, '(none)') AS repo, unnest(regexp_extract_all(coalesce(text, ''), '{pattern}')) AS m FROM documents)"""
-        )
+    parts = [
+        f"""SELECT doc_id, repo, '{kind}' AS kind, {value} AS v
+  FROM (SELECT *, regexp_replace(m, '^[^:=]*(:=|=>|:|=)[ \\t]*', '') AS v0,
+               regexp_replace(regexp_replace(regexp_replace(m, '^-----[ A-Z0-9]*-----', ''), '[\\x00-\\x20"'']', '', 'g'), '\\\\[nr]', '', 'g') AS body
+        FROM (SELECT doc_id, coalesce(source, '(none)') AS repo, unnest(regexp_extract_all(coalesce(text, ''), '{pattern}')) AS m FROM documents))"""
+        for kind, pattern, value in _SECRETS
+    ]
     return (
         "WITH found AS ("
         + " UNION ALL ".join(parts)
         + """),
 each AS (SELECT *, sha256(v) AS candidate_hash, len(list_distinct(string_split(v, ''))) AS symbols,
-                regexp_matches(lower(v), 'example|changeme|placeholder|dummy|your|xxxx|1234567') AS placeholder FROM found)
+                regexp_matches(lower(v), 'example|changeme|placeholder|dummy|your|xxxx|1234567|abcdefg') AND kind <> 'private_key' AS placeholder FROM found WHERE v IS NOT NULL)
 SELECT kind, candidate_hash, count(*) AS occurrences, count(DISTINCT repo) AS repositories, count(DISTINCT split_part(repo, '/', 1)) AS owners,
        min(doc_id) AS first_id,
        CASE WHEN bool_or(placeholder) OR min(symbols) < 8 THEN 'placeholder' WHEN count(DISTINCT split_part(repo, '/', 1)) >= 3 THEN 'copied_example'

@@ -1,6 +1,7 @@
 """Secret scans: candidate credentials judged by who else has them.
 
-Every text is searched by patterns; only a candidate's SHA-256 leaves the row. Candidates are
+Every text is searched by patterns; of a match the value alone is hashed (of a private key the body
+without header, line breaks and quotes, of an assignment what is assigned, without quotes). Only a candidate's SHA-256 leaves the row. Candidates are
 counted over the whole corpus by distinct repository and owner: what many owners have is a copied
 example; what one or two owners have and looks random is probably live.
 
@@ -13,42 +14,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: kind -> (a substring that every match has, or None; pattern; pattern of the value within a match)
+#: kind -> (a substring that every match has, or None; pattern; what is cut out of a match so that its value is left)
 PATTERNS = {
-    "access_key": ("AKIA", r"AKIA[0-9A-Z]{16}", r"AKIA[0-9A-Z]{16}"),
-    "assignment": (None, r"(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo]?[Rr]?[Dd]) ?[:=] ?\"[^\"\s]{8,}\"", r"\"[^\"\s]{8,}\""),
-    "hosting_token": ("gh", r"gh[pousr]_[A-Za-z0-9]{36}", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    "private_key": ("PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]{16,}", r"-----[^-]{16,}"),
-    "web_token": ("eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ.*"),
-    "chat_token": ("xox", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    "access_key": ("AKIA", r"AKIA[0-9A-Z]{16}", ""),
+    # a keyword, in code, JSON, settings or a subscript, and what is assigned to it: quoted, or unquoted up to a delimiter
+    "assignment": (
+        None,
+        r"(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Aa][Cc][Cc][Ee][Ss][Ss][_-]?[Kk][Ee][Yy]|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo]?[Rr]?[Dd])"
+        r"[A-Za-z0-9_.-]{0,40}[\"']?\]?[ \t]{0,40}(?::=|=>|[:=])[ \t]{0,40}"
+        r"(?:\"[^\"\x00-\x20]{8,}\"|'[^'\x00-\x20]{8,}'|[^\x00-\x20\"'`,;(){}\[\]<>$=][^\x00-\x20\"'`,;(){}\[\]<>]{7,}(?:[\x00-\x20,;)}\]]|$))",
+        r"^[^:=]*(?::=|=>|[:=])[ \t]*",
+    ),
+    "hosting_token": ("gh", r"gh[pousr]_[A-Za-z0-9]{36}", ""),
+    # the body, not the header, up to the footer; encrypted keys have headers with single hyphens
+    "private_key": (
+        "PRIVATE KEY",
+        r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[^-]*(?:-[^-]+){0,4}",
+        r"^-----[A-Z0-9 ]*-----|[\x00-\x20\"']|\\[nr]",
+    ),
+    "web_token": ("eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ""),
+    "chat_token": ("xox", r"xox[abprs]-[A-Za-z0-9-]{10,}", ""),
+    "service_key": (None, r"AIza[0-9A-Za-z_-]{35}|[rs]k_live_[0-9A-Za-z]{16,}|glpat-[0-9A-Za-z_-]{20}|npm_[0-9A-Za-z]{36}", ""),
+    "url_password": ("://", r"://[A-Za-z0-9._%+-]{1,64}:[^\x00-\x20/:@\"'<>]{4,128}@", r"^://[^:]*:|@$"),
 }
-#: What is searched for "assignment": any form of PATTERNS (which the SQL keeps to), and keywords with a suffix or a closing
-#: quote or bracket (JSON, subscripts), more blanks, single quotes, and unquoted values that end at a blank, comma or bracket.
-ASSIGNMENT = (
-    r"(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo]?[Rr]?[Dd])[A-Za-z0-9_.-]{0,40}[\"']?\]?[ \t]{0,40}(?::=|=>|[:=])[ \t]{0,40}"
-    r"(?:\"[^\"\s]{8,}\"|'[^'\s]{8,}'|(?![$=])[^\s\"'`,;(){}\[\]<>]{8,}(?=[\s,;)}\]]|$))"
-)
-ASSIGNED = r"(?::=|=>|[:=])[ \t]*(.+)$"
+LEAST_KEY = 16
 MANY_OWNERS = 3
 FEW_SYMBOLS = 8
 NONE = "(none)"
 
 
 def _found(text: Column, kind: str) -> Column:
-    sure, pattern, value = PATTERNS[kind]
-    if kind == "assignment":
-        # one credential is one candidate however it is quoted: the bare value, always within double quotes
-        bare = lambda m: F.regexp_replace(F.regexp_extract(m, ASSIGNED, 1), r"^[\"']|[\"']$", "")
-        got = F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(0))
-        return F.transform(got, lambda m: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit('"'), bare(m), F.lit('"')).alias("value")))
+    sure, pattern, cut = PATTERNS[kind]
     got = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if sure:
         got = F.when(F.contains(text, F.lit(sure)), got).otherwise(F.array().cast("array<string>"))
-    return F.transform(got, lambda m: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(m, value, 0).alias("value")))
+    value = F.transform(got, lambda m: F.regexp_replace(m, cut, "")) if cut else got
+    if kind == "private_key":
+        value = F.filter(value, lambda v: F.length(v) >= LEAST_KEY)
+    if kind == "assignment":
+        # one credential is one candidate however it is quoted; without quotes it needs a digit, so that prose is none
+        value = F.filter(value, lambda v: v.rlike("^[\"']|[0-9]"))
+        value = F.transform(value, lambda v: F.when(v.rlike("^[\"']"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(F.regexp_replace(v, r"[\x00-\x20,;)}\]]$", "")))
+    return F.transform(value, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
-    """(id, repo, owner, kind, candidate_hash, symbols, placeholder, times) for each document and candidate."""
+    """(id, repo, owner, kind, candidate_hash, symbols, placeholder): a row for each candidate of each document, repeats included."""
     repo = F.coalesce(F.col(repo_col).cast("string"), F.lit(NONE))
     text = F.coalesce(F.col(text_col), F.lit(""))
     each = docs.select(
@@ -62,7 +73,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("c.kind").alias("kind"),
         F.sha2(value, 256).alias("candidate_hash"),
         F.size(F.array_distinct(F.split(value, ""))).alias("symbols"),
-        F.lower(value).rlike("example|changeme|placeholder|dummy|your|xxxx|1234567").alias("placeholder"),
+        # a key's body is long enough to hold such a word by chance
+        (F.lower(value).rlike("example|changeme|placeholder|dummy|your|xxxx|1234567|abcdefg") & (F.col("c.kind") != "private_key")).alias("placeholder"),
     )
 
 
@@ -72,8 +84,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     The owner is what stands before the first "/" of the repository. Verdicts, in this order:
     "placeholder" for values that say so or have fewer than few_symbols distinct characters,
     "copied_example" for those of at least many_owners owners, else "owner_specific". A null
-    repository is "(none)"; a null or empty text has no candidate; repeated rows count as often as
-    they occur; first_id is the least id that isn't null. Other columns are ignored; an empty table
+    repository is "(none)"; a null or empty text has no candidate, a very long one is searched whole;
+    repeated rows count as often as they occur; first_id is the least id that isn't null. Other columns are ignored; an empty table
     gives an empty table.
     """
     found = candidates(docs, id_col, text_col, repo_col)
