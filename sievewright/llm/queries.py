@@ -104,15 +104,23 @@ _RULES = ", ".join(f"({i}, '{p}', '{a}')" for i, p, a in URL_RULES)
 
 def _split_sql(table: str, column: str, keep: str) -> str:
     """The canonical host, path and full path of a URL column in DuckDB SQL."""
+    plain = f"trim(coalesce({column}, ''))"
+    unreserved = "^(2[DdEe]|3[0-9]|4[1-9A-Fa-f]|5[0-9AaFf]|6[1-9A-Fa-f]|7[0-9AaEe])"
+    resolved = f"""CASE WHEN NOT contains({plain}, '%') THEN {plain} ELSE array_to_string([
+      CASE WHEN i = 1 THEN p WHEN regexp_matches(p, '{unreserved}') THEN chr(CAST(('0x' || substr(p, 1, 2)) AS INTEGER)) || substr(p, 3)
+           WHEN regexp_matches(p, '^[0-9A-Fa-f][0-9A-Fa-f]') THEN '%' || upper(substr(p, 1, 2)) || substr(p, 3) ELSE '%' || p END FOR p, i IN string_split({plain}, '%')], '') END"""
+    kept = """array_to_string(list_reduce([[s] FOR s IN string_split(CASE WHEN regexp_matches(bare, '/[.][.]?$') THEN bare || '/' ELSE bare END, '/')],
+      lambda a, s: CASE WHEN s[1] = '.' THEN a WHEN s[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE a || s END), '/')"""
     return f"""
-  SELECT {keep}, lower_host AS host, CASE WHEN bare = '' THEN '/' ELSE bare END AS path,
-         (CASE WHEN bare = '' THEN '/' ELSE bare END) || substr(rest, length(bare) + 1) AS full_path
-  FROM (SELECT *, split_part(rest, '?', 1) AS bare,
-               regexp_replace(lower(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', '')), '^[.]+|[.]+$', '', 'g') AS lower_host
-        FROM (SELECT *, substr(u, length(authority) + 1) AS rest
-              FROM (SELECT *, regexp_extract(u, '^[^/?]*') AS authority
-                    FROM (SELECT *, regexp_replace(split_part(trim(coalesce({column}, '')), '#', 1), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
-                          FROM {table}))))"""
+  SELECT {keep}, lower_host AS host, clean AS path, clean || substr(rest, length(bare) + 1) AS full_path
+  FROM (SELECT *, CASE WHEN bare = '' THEN '/' WHEN contains(bare, '/.') THEN CASE WHEN kept = '' THEN '/' ELSE kept END ELSE bare END AS clean
+        FROM (SELECT *, {kept} AS kept
+              FROM (SELECT *, split_part(rest, '?', 1) AS bare,
+                           regexp_replace(lower(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', '')), '^[.]+|[.]+$', '', 'g') AS lower_host
+                    FROM (SELECT *, substr(u, length(authority) + 1) AS rest
+                          FROM (SELECT *, regexp_extract(u, '^[^/?]*') AS authority
+                                FROM (SELECT *, regexp_replace(split_part({resolved}, '#', 1), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
+                                      FROM {table}))))))"""
 
 
 #: Written by hand, apart from the operator's patterns: kind, pattern and expression of the value m.

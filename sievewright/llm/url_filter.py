@@ -6,6 +6,10 @@ the whole digest then confirms the hit. Of a URL's hits the most specific rule d
 
 Expansion stops at the greatest number of host labels and path segments that occur in the rules:
 longer expressions have no counterpart. The rules are broadcast only below BROADCAST_RULES.
+
+URLs and rules are brought to one form first: percent-escapes of letters, digits and "-._~" are
+resolved and the digits of others put in capitals (once, as a server does), dot segments of the
+path are removed, the host loses its case.
 """
 
 from __future__ import annotations
@@ -17,18 +21,42 @@ BROADCAST_RULES = 200_000
 NO_RULE = "none"
 
 
+def unescape(url: Column) -> Column:
+    """url with unreserved characters for their percent-escapes, and capitals in the other escapes."""
+    unreserved = "^(?:2[DdEe]|3[0-9]|4[1-9A-Fa-f]|5[0-9Aa]|5[Ff]|6[1-9A-Fa-f]|7[0-9Aa]|7[Ee])"
+
+    def part(p: Column, i: Column) -> Column:
+        code, rest = F.substring(p, 1, 2), F.substr(p, F.lit(3))
+        sign = F.char(F.conv(code, 16, 10).cast("long"))
+        other = F.when(p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%"), F.upper(code), rest)).otherwise(F.concat(F.lit("%"), p))
+        return F.when(i == 0, p).when(p.rlike(unreserved), F.concat(sign, rest)).otherwise(other)
+
+    return F.when(F.contains(url, F.lit("%")), F.array_join(F.transform(F.split(url, "%"), part), "")).otherwise(url)
+
+
+def without_dots(path: Column) -> Column:
+    """path, which begins with a slash, without "." and ".." segments."""
+    whole = F.when(path.rlike(r"/[.][.]?$"), F.concat(path, F.lit("/"))).otherwise(path)
+
+    def step(kept: Column, s: Column) -> Column:
+        return F.when(s == ".", kept).when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(s)))
+
+    parts = F.aggregate(F.slice(F.split(whole, "/"), 2, 1 << 30), F.array(F.lit("")), step)
+    return F.when(F.contains(path, F.lit("/.")), F.when(F.size(parts) == 1, "/").otherwise(F.array_join(parts, "/"))).otherwise(path)
+
+
 def split_url(url: Column) -> tuple[Column, Column, Column]:
     """(host, path, path with query) of a URL or of a rule's host/path.
 
     Scheme, user, port and fragment go, the host loses its case and outer dots, an empty path is "/".
     """
-    u = F.regexp_replace(F.split_part(F.trim(url), F.lit("#"), F.lit(1)), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    u = F.regexp_replace(F.split_part(unescape(F.trim(url)), F.lit("#"), F.lit(1)), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     authority = F.regexp_extract(u, r"^[^/?]*", 0)
     rest = F.substr(u, F.length(authority) + 1)
     host = F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", "")
     host = F.regexp_replace(F.lower(host), r"^[.]+|[.]+$", "")
     bare = F.split_part(rest, F.lit("?"), F.lit(1))
-    path = F.when(bare == "", "/").otherwise(bare)
+    path = F.when(bare == "", "/").otherwise(without_dots(bare))
     return host, path, F.concat(path, F.substr(rest, F.length(bare) + 1))
 
 
@@ -75,23 +103,28 @@ def match_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rules has (rule_id, pattern, action), action "allow" or "block". Precedence: more host labels,
     then the longer path, then allow before block, then the least rule_id. A URL without a match, a
     null and an empty one have the action "none", rule_id -1 and an empty expression. Repeated rows give one row, other
-    columns are ignored, an empty table gives an empty table; without rules nothing matches.
+    columns are ignored, an empty table gives an empty table; without rules nothing matches. The id
+    may be of any type and the two columns may have any name; very long URLs are expanded whole, up
+    to the labels and slashes of the rules.
     """
     ruled = compile_rules(rules)
     sizes = ruled.agg(F.count("*").alias("n"), F.max("labels").alias("labels"), F.max("slashes").alias("slashes")).first()
     ruled = ruled.select("prefix", "digest", "rule_id", "action", "labels", F.length("full").alias("long"))
     # size is checked: rules are a few hundred bytes each
     ruled = F.broadcast(ruled) if sizes["n"] <= broadcast_rules else ruled
-    host, path, full = split_url(F.coalesce(F.col(url_col), F.lit("")))
-    parts = pages.select(F.col(id_col), F.col(url_col), host.alias("host"), path.alias("path"), full.alias("full"))
+    # the table is cut down to the two columns, under names of its own, so that none can clash
+    page = pages.select(F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").alias("url"))
+    host, path, full = split_url(F.coalesce("url", F.lit("")))
+    parts = page.select("page", "url", host.alias("host"), path.alias("path"), full.alias("full"))
     hosts = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(host_suffixes(F.col("host"), sizes["labels"] or 1))
-    each = parts.select(id_col, url_col, F.explode_outer(hosts).alias("suffix"), path_prefixes(F.col("path"), F.col("full"), sizes["slashes"] or 1).alias("prefixes"))
-    each = each.select(id_col, url_col, "suffix", F.explode("prefixes").alias("prefixed")).select(id_col, url_col, F.concat("suffix", "prefixed").alias("expression"))
+    each = parts.select("page", "url", F.explode_outer(hosts).alias("suffix"), path_prefixes(F.col("path"), F.col("full"), sizes["slashes"] or 1).alias("prefixes"))
+    each = each.select("page", "url", "suffix", F.explode("prefixes").alias("prefixed")).select("page", "url", F.concat("suffix", "prefixed").alias("expression"))
     each = each.withColumn("sha", F.sha2("expression", 256)).withColumn("prefix", F.conv(F.substring("sha", 1, 8), 16, 10).cast("long"))
     hits = each.join(ruled, "prefix", "left")
     rank = F.when(
         F.col("sha") == F.col("digest"),
         F.struct((-F.col("labels")).alias("a"), (-F.col("long")).alias("b"), F.col("action").alias("action"), F.col("rule_id").alias("rule_id"), F.col("expression").alias("expression")),
     )
-    best = hits.groupBy(id_col, url_col).agg(F.min(rank).alias("best"))
-    return best.select(id_col, url_col, F.coalesce("best.action", F.lit(NO_RULE)).alias("action"), F.coalesce("best.rule_id", F.lit(-1)).alias("rule_id"), F.coalesce("best.expression", F.lit("")).alias("expression"))
+    best = hits.groupBy("page", "url").agg(F.min(rank).alias("best"))
+    out = best.select("page", "url", F.coalesce("best.action", F.lit(NO_RULE)), F.coalesce("best.rule_id", F.lit(-1)), F.coalesce("best.expression", F.lit("")))
+    return out.toDF(id_col, url_col, "action", "rule_id", "expression")

@@ -1,3 +1,10 @@
+import re
+
+import duckdb
+import pyarrow as pa
+import pytest
+
+from sievewright.llm import queries
 from sievewright.llm import url_filter as U
 
 RULES = [
@@ -14,8 +21,13 @@ RULES = [
 ]
 
 
+def plain(m):
+    c = chr(int(m[1], 16))
+    return c if c.isascii() and (c.isalnum() or c in "-._~") else m[0].upper()
+
+
 def host_path(u):
-    u = (u or "").strip(" ").split("#")[0]
+    u = re.sub("%([0-9A-Fa-f]{2})", plain, (u or "").strip(" ")).split("#")[0]
     head, sep, tail = u.partition("://")
     u = tail if sep else u
     k = min([i for i in (u.find("/"), u.find("?")) if i >= 0], default=len(u))
@@ -24,6 +36,14 @@ def host_path(u):
         host = host.rpartition(":")[0]
     rest = u[k:]
     path, q, query = rest.partition("?")
+    if "/." in path:
+        kept = []
+        for x in (path + "/" if re.search("/[.][.]?$", path) else path).split("/")[1:]:
+            if x == "..":
+                kept = kept[:-1]
+            elif x != ".":
+                kept.append(x)
+        path = "/" + "/".join(kept)
     return host.lower().strip("."), path or "/", (path or "/") + q + query
 
 
@@ -61,6 +81,16 @@ URLS = [
     None,
     "//",
     "http://bad.example//ok//page",
+    "http://bad.example/no/../ok/page",
+    "http://bad.example/ok/../../../x",
+    "http://bad.example/ok/.",
+    "http://bad.example/x/..",
+    "http://bad%2Eexample/%6fk/p%61ge?x=1",
+    "http://good.example/%c3%a9/../a",
+    "http://good.example/%2e%2E/a",
+    "http://good.example/%61%",
+    "http://good.example/a%2",
+    "http://good.example/...%2fa",
 ]
 
 
@@ -79,3 +109,23 @@ def test_edge_cases(spark):
     assert sorted((str(r["page_id"]), r["action"]) for r in U.match_urls(twice, rules).collect()) == [("1", "block"), ("None", "block")]
     assert U.match_urls(spark.createDataFrame([], schema), rules).count() == 0
     assert [r["action"] for r in U.match_urls(twice, rules.limit(0)).collect()] == ["none", "none"]
+
+
+@pytest.mark.parametrize("names", [("host", "url"), ("prefix", "path"), ("expression", "digest"), ("page", "sha"), ("a b", "rule_id ")])
+def test_columns_of_any_name_and_ids_of_any_type(spark, names):
+    rules = spark.createDataFrame(RULES, "rule_id long, pattern string, action string")
+    pages = spark.createDataFrame([(f"p{k}", u) for k, u in enumerate(URLS)], "i string, u string").toDF(*names)
+    out = U.match_urls(pages, rules, *names)
+    assert out.columns == [*names, "action", "rule_id", "expression"]
+    assert {r[0]: (r[2], r[3]) for r in out.collect()} == {f"p{i}": brute(u) for i, u in enumerate(URLS)}
+    assert out.count() == len(URLS)
+
+
+def test_sql_brings_urls_to_the_same_form(spark):
+    found = U.split_url(U.F.coalesce("url", U.F.lit("")))
+    got = spark.createDataFrame(list(enumerate(URLS)), "i long, url string").select("i", *(c.alias(n) for c, n in zip(found, ("host", "path", "full_path")))).collect()
+    con = duckdb.connect()
+    t = pa.table({"i": list(range(len(URLS))), "url": URLS})
+    con.register("t", t)
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries._split_sql("t", "url", "i")).fetchall())
+    assert [tuple(r)[1:] for r in sorted(got)] == [host_path(u) for u in URLS]
