@@ -31,8 +31,10 @@ def restore(out: DataFrame, docs: DataFrame, id_col: str, *keys: str) -> DataFra
     return out
 
 
-def partitions_for(docs: DataFrame, share: float = 1.0, least: int | None = None) -> int:
-    """Shuffle partitions for `share` times the estimated size of docs: the session's number, or more where those would be too large."""
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    bound = int(size.toString()) * share / PARTITION_BYTES
-    return max(least or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(bound) + 1, 1 << 20) if bound < 1e9 else 0)
+def partitions_for(docs: DataFrame, share: float = 1.0) -> int:
+    """Shuffle partitions for `share` times the size of the files under docs: the session's number, or more where those would be too large."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    # a table without files has no known size, and Spark then names a number beyond all others
+    wanted = int(size * share / PARTITION_BYTES) + 1 if size < 1 << 60 else 1
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, 1 << 20))

@@ -7,8 +7,9 @@ Plan: hash the lines where they are read; range-partition the 128-bit hashes (th
 so the splitters are known without sampling); sort each range by hash, document and position;
 stream it and mark first occurrences; shuffle the marks, never the text, back to their documents.
 A line that an equal line precedes within the same block of rows can't be a first occurrence: it
-goes straight to its document's partition, so that a line that half the corpus shares doesn't
-make one range grow with the corpus.
+goes straight to its document's partition. Lines that repeat within a block are remembered for the
+rest of the task, so that of a line that half the corpus shares a task sends some rows to the range
+of its hash (each earlier than the one before), not one for each document.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.llm import keys as K
 from sievewright.llm import words as W
 
 NO_ID = -(1 << 63)
 _MARKS = "part int, id long, digest long, pos int, state byte, h0 long, h1 long"
 CANDIDATE, KEPT, DROPPED = 0, 1, 2
+REMEMBERED = 1 << 18  # repeated lines that a task remembers; more are only sent more often
 
 
 def line_table(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,6 +53,7 @@ def line_table(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _hash_lines(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: dict[tuple[int, int], tuple[int, int, int]] = {}  # repeated line -> the earliest place sent so far
         for batch in batches:
             for rows, data, offs in W.blocks(batch, "text"):
                 ids = rows.column(0).to_numpy()
@@ -72,7 +76,19 @@ def _hash_lines(parts: int):
                 nth = np.cumsum(lead)
                 first_nth = nth[np.flatnonzero(fresh)][run_id - 1] if len(order) else nth
                 late = order[nth > first_nth]
+                repeated = np.bincount(run_id - 1, nth > first_nth)[run_id - 1] > 0 if len(order) else nth > 0
                 state[late] = np.where(state[late] == CANDIDATE, DROPPED, state[late])
+                sent = order[(nth == first_nth) & (state[order] == CANDIDATE)] if len(order) else order
+                ask = np.isin(h0[sent], np.fromiter((k[0] for k in hot), np.int64, len(hot))) if hot else np.zeros(len(sent), bool)
+                for k in sent[ask].tolist():
+                    key, place = (int(h0[k]), int(h1[k])), (int(of[k]), int(dg[k]), int(pos[k]))
+                    if key in hot and hot[key] < place:
+                        state[k] = DROPPED
+                    elif key in hot:
+                        hot[key] = place
+                if len(hot) < REMEMBERED:
+                    for k in order[repeated & (nth == first_nth) & (state[order] == CANDIDATE)].tolist():
+                        hot[int(h0[k]), int(h1[k])] = (int(of[k]), int(dg[k]), int(pos[k]))
                 sure = state != CANDIDATE
                 span = ((h0.view(np.uint64) >> np.uint64(33)).astype(np.int64) * parts) >> 31
                 part = np.where(sure, (W.mix(of.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), span)
@@ -167,13 +183,15 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keep_bitmap is run-length coded (encode_runs); digest is xxhash64 of the text, which tells
     apart different texts under one id. A null text counts as an empty one: a single blank line,
-    kept. A null id counts as the least id. Rows repeated as a whole count once. Other columns
-    are ignored. An empty table gives an empty table.
+    kept. A null id counts as the least id. Ids may be of any type; those that aren't whole numbers
+    are ordered by a hash. Rows repeated as a whole count once. Very long texts are read whole. Other
+    columns are ignored. An empty table gives an empty table.
+
+    partitions is the number of hash ranges; by default it follows the size of docs.
     """
-    spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or K.partitions_for(docs, 0.5)
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
+        F.coalesce(K.key_of(docs, id_col), F.lit(NO_ID)).alias("id"),
         F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("digest"),
         F.coalesce(text_col, F.lit("")).alias("text"),
     )
@@ -182,19 +200,21 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = ranged.mapInArrow(_stream_firsts, "id long, digest long, pos int, kept boolean")
     per_doc = firsts.repartition(parts, "id", "digest").sortWithinPartitions("id", "digest", "pos")
     out = per_doc.mapInArrow(_bitmaps, "id long, digest long, n_lines long, n_kept long, keep_bitmap string")
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), "digest", "n_lines", "n_kept", "keep_bitmap")
+    out = out.select(F.nullif("id", F.lit(NO_ID)).alias("id"), "digest", "n_lines", "n_kept", "keep_bitmap")
+    return K.restore(out, docs, id_col, "id").withColumnRenamed("id", id_col)
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with only the kept lines in text_col; a document of which no visible line is left goes.
 
-    Columns and their order stay. A text that was null or blank already stays as it is.
+    Columns and their order stay. A text that was null or blank already stays as it is. Rows that
+    repeat are all cut alike, rows without a bitmap stay; an empty table gives an empty table.
     """
     key, digest, bitmap, new = W.free_names(docs.columns, "__id", "__digest", "__bitmap", "__text")
     drop = bitmaps.where("n_kept < n_lines").select(
-        F.coalesce(F.col(id_col), F.lit(NO_ID)).alias(key), F.col("digest").alias(digest), F.col("keep_bitmap").alias(bitmap)
+        F.coalesce(K.key_of(bitmaps, id_col), F.lit(NO_ID)).alias(key), F.col("digest").alias(digest), F.col("keep_bitmap").alias(bitmap)
     )
-    left = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), digest: F.xxhash64(F.coalesce(text_col, F.lit("")))})
+    left = docs.withColumns({key: F.coalesce(K.key_of(docs, id_col), F.lit(NO_ID)), digest: F.xxhash64(F.coalesce(text_col, F.lit("")))})
     joined = left.join(drop.hint("shuffle_hash"), [key, digest], "left")
 
     @F.pandas_udf("string")

@@ -60,3 +60,22 @@ def test_apply_keeps_columns_and_drops_emptied(spark, docs_of):
 def test_run_length_coding():
     for bits in ([], [True], [False], [True, True, False], [False, True, True]):
         assert L.decode_runs(L.encode_runs(np.array(bits, bool))).tolist() == bits
+
+
+def test_ids_of_other_types_and_unsorted_hot_lines(spark, docs_of):
+    rng = random.Random(5)
+    rows = [(i, f"hot\nown {i}\nhot too\nhot") for i in range(400)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        df = docs_of(rows)
+        assert run(df) == brute(rows)
+        named = df.withColumn("doc_id", L.F.concat(L.F.lit("doc-"), "doc_id")).unionByName(docs_of([(None, "hot\nlast")]).withColumn("doc_id", L.F.lit(None).cast("string")))
+        got = {r["doc_id"]: (r["n_lines"], r["n_kept"]) for r in L.keep_bitmaps(named).collect()}
+        assert set(got) == {f"doc-{i}" for i in range(400)} | {None}
+        # the null id comes first, then one document has the other repeated line
+        assert got[None] == (2, 2) and sorted(v[1] for k, v in got.items() if k) == [1] * 399 + [2]
+        left = L.apply_bitmaps(named, L.keep_bitmaps(named))
+        assert left.columns == named.columns and sum(r["text"].count("hot") for r in left.collect()) == 2
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
