@@ -16,8 +16,13 @@ shard: quadratic work. Here the shards are aligned with the text that can match
    the longest passage that ends there and occurred earlier. Statistics of at least min_words give
    the spans. Contexts equal to an earlier one repeat its statistics and aren't streamed.
 
-Within a block of rows, equal contexts are sent to their shard once, so a passage that a large part
-of the corpus shares doesn't make one shard grow with the corpus.
+An anchor that repeats within a task is known to be repeated: it is sent to its shard once by a task,
+the other places go straight back to their documents. Within a block of rows, equal contexts are sent
+to their shard once. So of a passage that a large part of the corpus shares a shard gets a row for each
+task or block and not for each document.
+
+spans_in() is the plain form of the method, for a given reference table of bounded size: its
+automata are broadcast shard by shard and every document streams past each of them.
 """
 
 from __future__ import annotations
@@ -26,12 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.llm import keys as K
 from sievewright.llm import words as W
 
 MIN_WORDS, GRAM = 50, 16
+REMEMBERED = 1 << 18  # repeated anchors that a task remembers; more are only sent more often
+SHARD_BYTES, REFERENCE_BYTES = 4 << 20, 256 << 20
 _B = 0x9E3779B97F4A7C15
 _BI = pow(_B, -1, 1 << 64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -139,6 +147,22 @@ class Automaton:
         return out
 
 
+    def match(self, sequence: list) -> list[tuple[int, object]]:
+        """For each position the length of the longest passage ending there that the automaton has, and its first owner."""
+        nxt, link, length, owners = self.next, self.link, self.length, self.owner
+        at = n = 0
+        out = []
+        for c in sequence:
+            while at and c not in nxt[at]:
+                at = link[at]
+                n = length[at]
+            if c in nxt[at]:
+                at = nxt[at][c]
+                n += 1
+            out.append((n, owners[at]))
+        return out
+
+
 def spans_of(stats: list[tuple[int, object]], least: int) -> list[tuple[int, int, object]]:
     """Maximal (start, end, owner) that statistics of at least `least` cover."""
     out: list = []
@@ -155,29 +179,46 @@ def spans_of(stats: list[tuple[int, object]], least: int) -> list[tuple[int, int
 
 
 def _anchor_rows(parts: int, least: int, k: int):
+    """Rows of (part, anchor, id, digest, pos, known); known where the anchor has occurred before in the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(0, np.uint64)  # repeated anchors whose shard knows of them, sorted
         for batch in batches:
             for rows, data, offs in W.blocks(batch, "text"):
                 h, _, _, bound = W.words(data, offs, W.VISIBLE, False)
                 at, g = anchors(h, bound, least, k)
                 g = W.mix(g)  # elected hashes are small ones; the shards need uniform numbers
                 doc = np.searchsorted(bound, at, "right") - 1
+                shard = (g >> np.uint64(33)).astype(np.int64) * parts >> 31
+                order = np.argsort(g, kind="stable")
+                run_at = W.runs(g[order])
+                nth = np.arange(len(g)) - np.repeat(run_at[:-1], np.diff(run_at))
+                before = np.isin(g[order], sent) if len(sent) else np.zeros(len(g), bool)
+                more = np.repeat(np.diff(run_at) > 1, np.diff(run_at))
+                known = np.zeros(len(g), bool)
+                known[order] = before | more
+                direct = np.zeros(len(g), bool)
+                direct[order] = before | (nth > 0)
+                own = W.mix(rows.column(0).to_numpy().view(np.uint64)[doc]) % np.uint64(parts)
+                if len(sent) < REMEMBERED:
+                    sent = np.union1d(sent, g[order][more & (nth == 0)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(((g >> np.uint64(33)).astype(np.int64) * parts >> 31).astype(np.int32)),
+                        pa.array(np.where(direct, own.astype(np.int64), shard).astype(np.int32)),
                         pa.array(g.view(np.int64)),
                         pa.array(rows.column(0).to_numpy()[doc]),
                         pa.array(rows.column(1).to_numpy()[doc]),
                         pa.array((at - bound[doc]).astype(np.int32)),
+                        pa.array(known),
                     ],
-                    names=["part", "anchor", "id", "digest", "pos"],
+                    names=["part", "anchor", "id", "digest", "pos", "known"],
                 )
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: those whose anchor occurs more than once."""
+    """Rows sorted by anchor: those whose anchor occurs more than once here, or is known to."""
     rest: pa.Table | None = None
     for batch in batches:
         if batch.num_rows == 0:
@@ -186,17 +227,17 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rest is not None:
             t = pa.concat_tables([rest, t]).combine_chunks()
         a = t.column("anchor").to_numpy()
-        # of the last anchor, the last two rows at most wait for the next batch
-        again = np.zeros(len(a), bool)
+        # of the last anchor, the last row waits for the next batch
+        again = t.column("known").to_numpy().copy()
         same = a[1:] == a[:-1]
         again[1:] |= same
         again[:-1] |= same
         if rest is not None and rest.num_rows and rest_known:
             again[0] = True
         rest, rest_known = t.slice(len(a) - 1), bool(again[-1])
-        yield from t.slice(0, len(a) - 1).filter(pa.array(again[:-1])).drop_columns(["anchor", "part"]).to_batches()
+        yield from t.slice(0, len(a) - 1).filter(pa.array(again[:-1])).select(["id", "digest", "pos"]).to_batches()
     if rest is not None and rest_known:
-        yield from rest.drop_columns(["anchor", "part"]).to_batches()
+        yield from rest.select(["id", "digest", "pos"]).to_batches()
 
 
 _CONTEXT = "part int, anchor long, id long, digest long, first int, words binary, last int, ref long"
@@ -307,19 +348,21 @@ def _span_batch(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM, partitions: int | None = None) -> DataFrame:
     """(id_col, digest, start_word, end_word, first_id): the maximal spans of words to remove.
 
     end_word is exclusive; first_id is a document that holds the start of the span earlier (it may
     be the same one). digest is xxhash64 of the text; repeated rows are one document, different
-    texts under one id are told apart by it. Rows without an id take no part; null, empty and short
-    texts have no window. Other columns are ignored, and an empty table gives an empty table.
+    texts under one id are told apart by it. Ids may be of any type; those that aren't whole numbers
+    are ordered by a hash. Rows without an id take no part; null, empty and short texts have no
+    window, very long ones are read whole. Other columns are ignored, and an empty table gives an
+    empty table. partitions is the number of shards; by default it follows the size of docs.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or K.partitions_for(docs, 1.5)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")
+        K.key_of(docs, id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")
     )
-    elected = rows.mapInArrow(_anchor_rows(parts, min_words, gram), "part int, anchor long, id long, digest long, pos int")
+    elected = rows.mapInArrow(_anchor_rows(parts, min_words, gram), "part int, anchor long, id long, digest long, pos int, known boolean")
     ranged = elected.repartitionById(parts, F.col("part")).sortWithinPartitions("anchor")
     places = ranged.mapInArrow(_repeated, "id long, digest long, pos int").groupBy("id", "digest").agg(F.collect_list("pos").alias("places"))
     hit = rows.join(places.hint("shuffle_hash"), ["id", "digest"]).select("id", "digest", "text", "places")
@@ -328,14 +371,88 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = shards.mapInArrow(_match(min_words), "id long, digest long, s int, e int, ref long")
     merged = spans.repartition(parts, "id", "digest").sortWithinPartitions("id", "digest", "s", "e")
     out = merged.mapInArrow(_merge, "id long, digest long, start_word long, end_word long, first_id long")
-    return out.withColumnRenamed("id", id_col)
+    return K.restore(out, docs, id_col, "id", "first_id").withColumnRenamed("id", id_col)
+
+
+def reference_shards(reference: DataFrame, id_col: str, text_col: str, shard_bytes: int = SHARD_BYTES) -> Iterator[list[tuple[object, bytes]]]:
+    """The texts of a reference table, some shard_bytes at a time, in the order of their ids."""
+    rows = reference.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct().orderBy("i", "t")
+    shard, size = [], 0
+    for r in rows.toLocalIterator():
+        shard.append((r["i"], r["t"].encode()))
+        size += len(shard[-1][1])
+        if size >= shard_bytes:
+            yield shard
+            shard, size = [], 0
+    if shard:
+        yield shard
+
+
+def spans_in(
+    docs: DataFrame,
+    reference: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    ref_id_col: str = "doc_id",
+    ref_text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    shard_bytes: int = SHARD_BYTES,
+    reference_bytes: int = REFERENCE_BYTES,
+) -> DataFrame:
+    """(id_col, digest, start_word, end_word, first_id): the maximal spans of docs that a text of reference holds.
+
+    The suffix automaton of each shard of the reference is broadcast and every document streams past
+    it, so the work is that of docs times the shards: for references of a known size. One of more than
+    reference_bytes raises ValueError; repeated_spans() is the way for those. Nulls, repeats and other
+    columns are treated as by repeated_spans(); first_id is the first text of the first shard that
+    holds the start of a span.
+    """
+    size = reference.where(F.col(ref_id_col).isNotNull()).agg(F.sum(F.octet_length(ref_text_col))).first()[0] or 0
+    if size > reference_bytes:
+        raise ValueError(f"the reference has {size} bytes, more than {reference_bytes}")
+    kind, ref_kind = docs.schema[id_col].dataType.simpleString(), reference.schema[ref_id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, digest long, s long, e long, shard int, first_id {ref_kind}"
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).distinct()
+
+    def runner(shared, number):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = Automaton()
+            for owner, raw in shared.value:
+                auto.add(W.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), W.VISIBLE, False)[0].tolist(), owner)
+            for batch in batches:
+                for part, data, offs in W.blocks(batch, "text"):
+                    h, _, _, bound = W.words(data, offs, W.VISIBLE, False)
+                    found = [(i, *span) for i in range(part.num_rows) if bound[i + 1] - bound[i] >= min_words for span in spans_of(auto.match(h[bound[i] : bound[i + 1]].tolist()), min_words)]
+                    at = pa.array([f[0] for f in found], pa.int64())
+                    columns = [part.column(0).take(at), part.column(1).take(at), *(pa.array([f[c] for f in found], pa.int64()) for c in (1, 2))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([number] * len(found), pa.int32()), pa.array([f[3] for f in found])], names=[id_col, "digest", "s", "e", "shard", "first_id"])
+
+        return run
+
+    found = None
+    for number, shard in enumerate(reference_shards(reference, ref_id_col, ref_text_col, shard_bytes)):
+        part = rows.mapInArrow(runner(docs.sparkSession.sparkContext.broadcast(shard), number), schema)
+        found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], schema)
+    # spans of several shards that overlap or touch become one
+    by = Window.partitionBy(id_col, "digest").orderBy("s", "e", "shard")
+    new = F.coalesce((F.col("s") > F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    merged = found.withColumn("new", new).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    out = merged.groupBy(id_col, "digest", "span").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min(F.struct("s", "shard", "first_id")).alias("m"))
+    return out.select(id_col, "digest", "start_word", "end_word", F.col("m.first_id").alias("first_id"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the words of spans, and the white space after them, cut from text_col; columns stay."""
+    """docs with the words of spans, and the white space after them, cut from text_col; columns stay.
+
+    spans is a table of repeated_spans() or spans_in(). Rows that repeat are cut alike; rows without
+    an id, null texts and texts without a span stay as they are; a text may become empty; an empty
+    table gives an empty table.
+    """
     key, digest, found, new = W.free_names(docs.columns, "__id", "__digest", "__spans", "__text")
-    cut = spans.groupBy(F.col(id_col).alias(key), F.col("digest").alias(digest)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(found))
-    left = docs.withColumns({key: F.col(id_col).cast("long"), digest: F.xxhash64(text_col)})
+    cut = spans.groupBy(K.key_of(spans, id_col).alias(key), F.col("digest").alias(digest)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(found))
+    left = docs.withColumns({key: K.key_of(docs, id_col), digest: F.xxhash64(text_col)})
     joined = left.join(cut.hint("shuffle_hash"), [key, digest], "left")
 
     @F.pandas_udf("string")

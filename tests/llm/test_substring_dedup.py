@@ -78,3 +78,53 @@ def test_edge_cases(docs_of):
     df = docs_of(rows).selectExpr("*", "1 AS id", "2 AS digest", "3 AS places", "'p' AS part")
     assert run(df, 50, 16) == {(5, 0, 70)}
     assert S.repeated_spans(docs_of([])).count() == 0
+
+
+def brute_in(rows, refs, least):
+    known = {tuple(w[s : s + least]) for w in (t.split() for i, t in refs if i is not None and t) for s in range(len(w) - least + 1)}
+    out = set()
+    for i, t in {(i, t) for i, t in rows if i is not None and t}:
+        w = t.split()
+        gone = [False] * (len(w) + 1)
+        for s in range(len(w) - least + 1):
+            if tuple(w[s : s + least]) in known:
+                gone[s : s + least] = [True] * least
+        cut = [k for k in range(len(w) + 1) if gone[k] != (k > 0 and gone[k - 1])]
+        out |= {(i, a, b) for a, b in zip(cut[::2], cut[1::2])}
+    return out
+
+
+def test_broadcast_automata_of_a_reference(spark, docs_of):
+    rows, refs = corpus(5) + [(700, None), (None, "x " * 40), (701, "")], corpus(5)[10:30:3] + [(None, "no id"), (99, None), (98, ""), (97, "a b " * 30)]
+    reference = spark.createDataFrame([(f"r{i}" if i is not None else None, t) for i, t in refs], "ref string, body string")
+    df = docs_of(rows + rows[:3])
+    for shard_bytes in (1, 1 << 20):
+        out = S.spans_in(df, reference, ref_id_col="ref", ref_text_col="body", min_words=10, shard_bytes=shard_bytes)
+        got = out.collect()
+        assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == brute_in(rows, refs, 10) and len(got) == len({tuple(r) for r in got}) > 20
+        assert out.columns == ["doc_id", "digest", "start_word", "end_word", "first_id"]
+    assert S.spans_in(df, reference.limit(0), ref_id_col="ref", ref_text_col="body").count() == 0
+    assert S.spans_in(docs_of([]), reference, ref_id_col="ref", ref_text_col="body").count() == 0
+    try:
+        S.spans_in(df, reference, ref_id_col="ref", ref_text_col="body", reference_bytes=10)
+        raise AssertionError("no check of the size")
+    except ValueError:
+        pass
+
+
+def test_hot_passage_and_ids_of_other_types(spark, docs_of):
+    rng = random.Random(3)
+    hot = " ".join(f"h{k}" for k in range(30))
+    rows = [(i, f"{' '.join(f'u{rng.randrange(10**9)}' for _ in range(6))} {hot} end{i}") for i in range(300)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        df = docs_of(rows).repartition(3)
+        assert run(df, 12, 5) == brute(rows, 12)
+        named = df.withColumn("doc_id", S.F.concat(S.F.lit("doc-"), "doc_id"))
+        spans = S.repeated_spans(named, min_words=12, gram=5)
+        got = spans.collect()
+        assert len(got) == 299 and {(r["start_word"], r["end_word"]) for r in got} == {(6, 36)} and all(r["first_id"].startswith("doc-") for r in got)
+        assert sum(hot in r["text"] for r in S.remove_spans(named, spans).collect()) == 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
