@@ -12,9 +12,11 @@ still reach the threshold are then evaluated by block-max WAND over the full pos
 retrieved counts as contamination when both the item's question and its answer overlap with the
 passage in enough word 3-grams.
 
-The index is sent to the executors, so its size is checked: beyond `shard_items` items it is built
-in shards, one narrow pass over the corpus each. All shards share the statistics and the stride of
-the whole benchmark, so rows and scores don't depend on shard_items.
+The index is sent to the executors, so its size is checked: beyond `shard_items` items or
+`shard_bytes` of their text it is built in shards, one narrow pass over the corpus each. The items
+stream past the driver twice, once for the statistics and once for the shards, and it holds one
+shard at a time. All shards share the statistics and the stride of the whole benchmark, so rows and
+scores don't depend on the bounds.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import words as W
+from sievewright.session import materialize
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.5
-SHARD_ITEMS = 50_000
+SHARD_ITEMS, SHARD_BYTES = 50_000, 16 << 20
 BLOCK = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,31 +102,37 @@ class Index:
         df = stats.df[np.searchsorted(stats.terms, self.terms)]
         idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
         mean = stats.words / max(1, stats.n)
-        lists: list[list] = [[] for _ in self.terms]
-        rare: list[list] = [[] for _ in self.terms]
         self.slack = np.zeros(n)  # the weight of the terms that the first step leaves out
+        posted, rare = [], []  # (term, item, weight) of each item
         for i, (t, c) in enumerate(tf):
             k = np.searchsorted(self.terms, t)
             w = idf[k] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(whole[i]) / mean))
             w = w / w.sum()
-            for a, x in zip(k, w):
-                lists[a].append((i, float(x)))
+            posted.append((k, np.full(len(k), i), w))
             order = np.lexsort((k, df[k]))
             # the rarest terms, until the others together are worth less than half the threshold
             rest = 1 - np.cumsum(w[order])
             take = int(np.argmax(rest < threshold / 2)) + 1
             self.slack[i] = max(0.0, float(rest[take - 1]))
-            for o in order[:take]:
-                rare[k[o]].append((i, float(w[o])))
-        self.items = [np.array([i for i, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([v for _, v in x]) for x in lists]
-        self.most = np.array([x.max() for x in self.weights])
-        self.block_most = [np.array([x[a : a + BLOCK].max() for a in range(0, len(x), BLOCK)]) for x in self.weights]
-        self.block_last = [np.array([x[min(a + BLOCK, len(x)) - 1] for a in range(0, len(x), BLOCK)]) for x in self.items]
-        self.rare_n = np.array([len(x) for x in rare], np.int64)
+            rare.append((k[order[:take]], np.full(take, i), w[order[:take]]))
+        of, items, weights = self._by_term(posted)
+        cut = np.searchsorted(of, np.arange(1, len(self.terms)))
+        self.items, self.weights = np.split(items, cut), np.split(weights, cut)
+        self.most = np.array([x.max(initial=0.0) for x in self.weights])
+        self.block_most = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.weights if len(x)]
+        self.block_last = [x[np.minimum(np.arange(BLOCK, len(x) + BLOCK, BLOCK), len(x)) - 1] for x in self.items if len(x)]
+        of, self.rare_item, self.rare_weight = self._by_term(rare)
+        self.rare_n = np.bincount(of, minlength=len(self.terms))
         self.rare_at = np.concatenate([[0], np.cumsum(self.rare_n)]).astype(np.int64)
-        self.rare_item = np.array([i for x in rare for i, _ in x], np.int64)
-        self.rare_weight = np.array([v for x in rare for _, v in x])
+
+    @staticmethod
+    def _by_term(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term, item, weight) of all parts, by term and item."""
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        term, item, weight = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((item, term))
+        return term[order], item[order], weight[order]
 
     def candidates(self, term: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """The segments (of stride words) such that a passage of it and the next may reach the threshold.
@@ -234,29 +243,42 @@ def split_item(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_indexes(
-    benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", answer_col: str | None = None, threshold: float = THRESHOLD, shard_items: int = SHARD_ITEMS
-) -> list[Index]:
-    """Indexes of at most shard_items items each. Items without an id or a word are left out; a repeated item counts once."""
+    benchmark: DataFrame,
+    item_col: str = "item_id",
+    text_col: str = "text",
+    answer_col: str | None = None,
+    threshold: float = THRESHOLD,
+    shard_items: int = SHARD_ITEMS,
+    shard_bytes: int = SHARD_BYTES,
+) -> Iterator[Index]:
+    """Indexes of at most shard_items items and about shard_bytes of text each. Items without an id or a word are left out; a repeated item counts once."""
     answer = F.coalesce(F.col(answer_col), F.lit("")) if answer_col else F.lit("")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("q"), answer.alias("a")).distinct()
-    items = items.orderBy("i", "q", "a")
-    shards, rows, stats = [], [], Statistics()
-
-    def close():
-        qs, ans = hashes_of([r["q"] for r in rows]), hashes_of([r["a"] for r in rows])
-        if not answer_col:
-            qs, ans = zip(*map(split_item, qs))
+    items = materialize(items.orderBy("i", "q", "a"), "items").orderBy("i", "q", "a")
+
+    def shards() -> Iterator[tuple[list, list, list]]:
+        rows, size = [], 0
+
+        def hashed():
+            qs, ans = hashes_of([r["q"] for r in rows]), hashes_of([r["a"] for r in rows])
+            if not answer_col:
+                qs, ans = zip(*map(split_item, qs))
+            return [r["i"] for r in rows], list(qs), list(ans)
+
+        for r in items.toLocalIterator():
+            rows.append(r)
+            size += len(r["q"]) + len(r["a"])
+            if len(rows) == shard_items or size >= shard_bytes:
+                yield hashed()
+                rows, size = [], 0
+        if rows:
+            yield hashed()
+
+    stats = Statistics()
+    for _, qs, ans in shards():
         stats.add([np.concatenate([q, a]) for q, a in zip(qs, ans)])
-        shards.append(([r["i"] for r in rows], list(qs), list(ans)))
-        rows.clear()
-
-    for r in items.toLocalIterator():
-        rows.append(r)
-        if len(rows) == shard_items:
-            close()
-    if rows:
-        close()
-    return [Index(*shard, threshold, stats) for shard in shards]
+    for shard in shards():
+        yield Index(*shard, threshold, stats)
 
 
 def contaminated(
@@ -270,12 +292,13 @@ def contaminated(
     threshold: float = THRESHOLD,
     min_overlap: float = OVERLAP,
     shard_items: int = SHARD_ITEMS,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """(id_col, item_id, score, question_overlap, answer_overlap) of every contaminated document and item.
 
     Every passage of every document is a query. A document that repeats counts once; a null id is
-    reported as null; a null or empty text has no passage. Without documents or items the result
-    is empty. Other columns are ignored.
+    reported as null; a null or empty text has no passage, every passage of a very long one is a
+    query. Without documents or items the result is empty. Other columns are ignored.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
@@ -302,7 +325,7 @@ def contaminated(
 
         return run
 
-    found = [rows.mapInArrow(runner(spark.sparkContext.broadcast(x)), schema) for x in build_indexes(benchmark, item_col, item_text_col, answer_col, threshold, shard_items)]
+    found = [rows.mapInArrow(runner(spark.sparkContext.broadcast(x)), schema) for x in build_indexes(benchmark, item_col, item_text_col, answer_col, threshold, shard_items, shard_bytes)]
     if not found:
         return spark.createDataFrame([], schema)
     return (
@@ -313,8 +336,12 @@ def contaminated(
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, min_overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS, **item_columns) -> DataFrame:
-    """docs without the rows that contaminated() reports, in a narrow pass for each index shard; columns stay as they are."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, min_overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS, shard_bytes: int = SHARD_BYTES, **item_columns) -> DataFrame:
+    """docs without the rows that contaminated() reports, in a narrow pass for each index shard; columns stay as they are.
+
+    Every row is judged by its own text: rows without an id as well, repeated rows alike; null and
+    empty texts stay. An empty table gives an empty table, an empty benchmark leaves all.
+    """
     at = docs.columns.index(text_col)
 
     def runner(shared):
@@ -328,6 +355,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         return run
 
     spark = docs.sparkSession
-    for index in build_indexes(benchmark, threshold=threshold, shard_items=shard_items, **item_columns):
+    for index in build_indexes(benchmark, threshold=threshold, shard_items=shard_items, shard_bytes=shard_bytes, **item_columns):
         docs = docs.mapInArrow(runner(spark.sparkContext.broadcast(index)), docs.schema)
     return docs

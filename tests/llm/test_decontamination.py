@@ -91,12 +91,11 @@ def test_wand_finds_all_above_the_threshold(case):
 
 def test_shards_of_the_index_and_dropping(spark, docs_of, case):
     rows, items = case
-    # shards have their own statistics, so only verbatim items must agree
     whole = [(k, f"before {t} after") for k, t in items[:20]] + [(99, "nothing to see")]
     bench = spark.createDataFrame(items[:20], ITEMS)
     df = docs_of(whole).selectExpr("*", "1 AS item_id", "'q' AS question", "2.5 AS score")
-    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(df, bench, shard_items=6).collect()}
-    assert {(k, k) for k in range(20)} <= got
+    got = [sorted(map(tuple, D.contaminated(df, bench, **bound).collect())) for bound in ({}, {"shard_items": 6}, {"shard_items": 1}, {"shard_bytes": 300})]
+    assert {(k, k) for k in range(20)} <= {r[:2] for r in got[0]} and got[0] == got[1] == got[2] == got[3]
     kept = D.drop_contaminated(df, bench, shard_items=6)
     assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [99]
 
@@ -119,7 +118,7 @@ def test_empty_tables(spark, docs_of):
 def test_rows_and_scores_do_not_depend_on_the_shards(spark, docs_of, case):
     rows, items = case
     bench = spark.createDataFrame(items, ITEMS)
-    got = [sorted(map(tuple, D.contaminated(docs_of(rows), bench, threshold=0.4, min_overlap=0.3, shard_items=n).collect())) for n in (50_000, 40, 17)]
-    assert got[0] and got[0] == got[1] == got[2]
+    got = [sorted(map(tuple, D.contaminated(docs_of(rows), bench, threshold=0.4, min_overlap=0.3, shard_items=n).collect())) for n in (50_000, 40, 4, 1)]
+    assert got[0] and all(g == got[0] for g in got)
     kept = [sorted(r["doc_id"] for r in D.drop_contaminated(docs_of(rows), bench, shard_items=n).collect()) for n in (50_000, 17)]
     assert kept[0] == kept[1]
