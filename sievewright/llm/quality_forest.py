@@ -1,9 +1,11 @@
 """Quality rules: an isolation forest over rule statistics, with a threshold calibrated on labelled rows.
 
-Every text gives a row of rule statistics (FEATURES). A forest of random splits, grown on a bounded
-hash-chosen sample of documents, isolates unusual rows early: the score is 2 ** (-mean path length
-over the path length that random data would have), near 1 for anomalies. The threshold is the least
-score that at most `max_loss` of the rows labelled good reach, found over all labelled rows.
+Every text gives a row of rule statistics (FEATURES). A forest of random splits isolates unusual rows
+early: the score is 2 ** (-mean path length over the path length that random data would have), near 1
+for anomalies. Every tree draws its own GROW_ON documents from the whole corpus, by a hash of the
+document and the tree's number; that is the method's sub-sampling and no bound on the corpus. The
+threshold is the least score that at most `max_loss` of the rows labelled good reach, found over all
+labelled rows.
 
 Scoring is one narrow pass; scores are written once and used for the calibration and for the result.
 """
@@ -38,7 +40,7 @@ FEATURES = (
     "log_longest_word",
     "log_longest_line",
 )
-SAMPLE, TREES, GROW_ON = 8192, 100, 256
+TREES, GROW_ON = 100, 256
 MAX_LOSS = 0.01
 STEPS = 4096
 _CLASS = np.zeros(256, np.int64)  # 0 other letters, 1 lower, 2 upper, 3 digit, 4 symbol, 5 blank, 6 break
@@ -101,17 +103,17 @@ def usual_path(n: int) -> float:
 
 @dataclass
 class Forest:
-    """Trees as flat arrays: feature (-1 for a leaf), cut, left child (right is the next), depth of a leaf with its usual rest."""
+    """Trees as flat arrays: feature (-1 for a leaf), cut, left child (right is the next), depth of a leaf with its usual rest; and the usual path of each tree's rows."""
 
     feature: list[np.ndarray]
     cut: list[np.ndarray]
     left: list[np.ndarray]
     depth: list[np.ndarray]
-    rows: int
+    usual: list[float]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        for feature, cut, left, depth in zip(self.feature, self.cut, self.left, self.depth):
+        for feature, cut, left, depth, usual in zip(self.feature, self.cut, self.left, self.depth, self.usual):
             at = np.zeros(len(x), np.int64)
             live = np.arange(len(x))
             while live.size:
@@ -119,19 +121,20 @@ class Forest:
                 f = feature[node]
                 live, node, f = live[f >= 0], node[f >= 0], f[f >= 0]
                 at[live] = left[node] + (x[live, f] >= cut[node])
-            total += depth[at]
-        return 2.0 ** (-total / max(1, len(self.feature)) / max(usual_path(self.rows), 1e-9))
+            total += depth[at] / max(usual, 1e-9)
+        return 2.0 ** (-total / max(1, len(self.feature)))
 
 
-def grow(x: np.ndarray, trees: int = TREES, grow_on: int = GROW_ON, seed: int = 17) -> Forest:
-    """An isolation forest on the rows of x; each tree on grow_on of them, to a depth of log2(grow_on)."""
+def grow(samples: list[np.ndarray], seed: int = 17) -> Forest:
+    """An isolation forest with a tree for each sample, to a depth of log2 of its rows; empty samples grow none."""
     rng = np.random.default_rng(seed)
-    m = min(grow_on, len(x))
-    out = Forest([], [], [], [], m)
-    limit = math.ceil(math.log2(max(m, 2)))
-    for _ in range(trees if m else 0):
+    out = Forest([], [], [], [], [])
+    for x in samples:
+        if not len(x):
+            continue
+        limit = math.ceil(math.log2(max(len(x), 2)))
         feature, cut, left, depth = [-1], [0.0], [0], [0.0]
-        todo = [(0, x[rng.choice(len(x), m, replace=False)], 0)]
+        todo = [(0, x, 0)]
         while todo:
             node, rows, d = todo.pop()
             lo, hi = rows.min(0), rows.max(0)
@@ -155,28 +158,39 @@ def grow(x: np.ndarray, trees: int = TREES, grow_on: int = GROW_ON, seed: int =
         out.cut.append(np.array(cut))
         out.left.append(np.array(left))
         out.depth.append(np.array(depth))
+        out.usual.append(usual_path(len(x)))
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Forest:
-    """A forest grown on about `sample` documents, chosen by a hash of the id."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, grow_on: int = GROW_ON) -> Forest:
+    """A forest over docs, each tree grown on about grow_on documents that its own hash draws from all of docs.
+
+    A document is its id and text; repeated rows are drawn once. Null and empty texts can be drawn
+    like others, long ones count whole. Without a row there is no tree, and every score is 1. The
+    driver gets at most some trees * grow_on rows of statistics.
+    """
     rows = docs.count()
-    share = min(1.0, sample / max(rows, 1))
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit("forest")), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    # more are drawn, of which the least hashes stay, so that nearly every tree has its number even where a third of the rows repeat
+    share = min(1.0, (grow_on + 8 * math.sqrt(grow_on)) / max(rows, 1))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.shiftrightunsigned(F.xxhash64("h", t), 11) < F.lit(int(share * (1 << 53))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offs in W.blocks(batch, "text"):
-                x = features(data, offs)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], names=["x"])
+            for part, data, offs in W.blocks(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(features(data, offs)), pa.list_(pa.float64()))], names=["h", "trees", "x"])
 
-    got = docs.where(u < share).select(F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, "x array<double>").collect()
-    x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
-    return grow(x[np.lexsort(x.T)])
+    some = docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("text")).withColumn("trees", drawn).where(F.size("trees") > 0).dropDuplicates(["h"])
+    got = some.select("h", "trees", "text").mapInArrow(run, "h long, trees array<int>, x array<double>")
+    each = got.select("h", F.explode("trees").alias("t"), "x")
+    by: list[list] = [[] for _ in range(trees)]
+    for r in each.select("t", F.shiftrightunsigned(F.xxhash64("h", "t"), 11).alias("u"), "x").collect():
+        by[r["t"]].append((r["u"], r["x"]))
+    return grow([np.array([x for _, x in sorted(b)[:grow_on]]).reshape(-1, len(FEATURES)) for b in by])
 
 
 def scores(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every row."""
+    """(id_col, score) of every row, repeated rows and null ids included; a null text counts as an empty one, a long one whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,12 +216,12 @@ def calibrate(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     return 0.0
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_loss: float = MAX_LOSS, sample: int = SAMPLE) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_loss: float = MAX_LOSS) -> DataFrame:
     """(id_col, score, anomalous) for every row of docs, repeated rows and null ids included.
 
     labels has (id_col, label_col), 1 for a good document; labels that are null, unknown or without
     a document don't count. A null text is an empty one. Without a row labelled good nothing is
     anomalous; an empty table gives an empty table. Other columns are ignored.
     """
-    scored = materialize(scores(docs, fit(docs, id_col, text_col, sample), id_col, text_col), "scores")
+    scored = materialize(scores(docs, fit(docs, id_col, text_col), id_col, text_col), "scores")
     return scored.withColumn("anomalous", F.col("score") >= F.lit(calibrate(scored, labels, id_col, label_col, max_loss)))
