@@ -214,7 +214,7 @@ formed AS (
   SELECT doc_id, source, lang, s, l,
          CASE WHEN contains(t, 'License') OR contains(t, 'icensed under') THEN 'licence' WHEN contains(t, ' | ') THEN 'table'
               WHEN contains(t, '@') OR contains(t, ' = "') THEN 'contact' ELSE 'prose' END AS topic,
-         CASE WHEN t = '' THEN 0 ELSE 2 * length(t) - length(replace(t, ' ', '')) - length(replace(t, chr(10), '')) + 1 END AS n
+         len(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+')) AS n
   FROM docs),
 cells AS (SELECT s, l, topic, CAST(sum(n) AS DOUBLE) AS have FROM formed GROUP BY s, l, topic),
 total AS (SELECT 0.5 * sum(have) AS want FROM cells),
@@ -231,8 +231,8 @@ raked AS (
     SELECT *, CASE WHEN sum(w2) OVER (PARTITION BY topic) > 0 THEN w2 * gt / sum(w2) OVER (PARTITION BY topic) ELSE 0 END AS w3 FROM (
       SELECT *, CASE WHEN sum(w1) OVER (PARTITION BY l) > 0 THEN w1 * gl / sum(w1) OVER (PARTITION BY l) ELSE 0 END AS w2 FROM (
         SELECT *, CASE WHEN sum(w) OVER (PARTITION BY s) > 0 THEN w * gs / sum(w) OVER (PARTITION BY s) ELSE 0 END AS w1 FROM raked WHERE k < 40)))),
-drawn AS (SELECT s, l, topic, CASE WHEN have > 0 THEN w / have ELSE 0 END AS p FROM raked WHERE k = 40)
-SELECT doc_id, source, lang, topic, CAST(n AS BIGINT) AS n_tokens, round(p, 6) AS probability
+drawn AS (SELECT s, l, topic, round(CASE WHEN have > 0 THEN w / have ELSE 0 END, 6) AS p FROM raked WHERE k = 40)
+SELECT doc_id, source, lang, topic, CAST(n AS BIGINT) AS n_tokens, p AS probability
 FROM formed JOIN drawn USING (s, l, topic)
 WHERE CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':mix'), 1, 12)) AS BIGINT) / 281474976710656.0 < p
 """,
