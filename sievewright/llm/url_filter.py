@@ -45,19 +45,19 @@ def without_dots(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/.")), F.when(F.size(parts) == 1, "/").otherwise(F.array_join(parts, "/"))).otherwise(path)
 
 
-def split_url(url: Column) -> tuple[Column, Column, Column]:
-    """(host, path, path with query) of a URL or of a rule's host/path.
+def split_urls(df: DataFrame, url: Column, *keep: str) -> DataFrame:
+    """The columns `keep` and (host, path, full) of a URL or of a rule's host/path; full is the path with the query.
 
     Scheme, user, port and fragment go, the host loses its case and outer dots, an empty path is "/".
+    Every step is a column of its own, so that none is evaluated twice.
     """
-    u = F.regexp_replace(F.split_part(unescape(F.trim(url)), F.lit("#"), F.lit(1)), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    authority = F.regexp_extract(u, r"^[^/?]*", 0)
-    rest = F.substr(u, F.length(authority) + 1)
-    host = F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", "")
-    host = F.regexp_replace(F.lower(host), r"^[.]+|[.]+$", "")
-    bare = F.split_part(rest, F.lit("?"), F.lit(1))
-    path = F.when(bare == "", "/").otherwise(without_dots(bare))
-    return host, path, F.concat(path, F.substr(rest, F.length(bare) + 1))
+    c = F.col
+    df = df.select(*keep, F.trim(url).alias("u")).withColumn("u", unescape(c("u")))
+    df = df.withColumn("u", F.regexp_replace(F.split_part("u", F.lit("#"), F.lit(1)), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""))
+    df = df.withColumn("authority", F.regexp_extract("u", r"^[^/?]*", 0)).withColumn("rest", F.substr("u", F.length("authority") + 1))
+    df = df.withColumn("host", F.regexp_replace(F.regexp_replace("authority", r"^.*@", ""), r":[0-9]*$", "")).withColumn("bare", F.split_part("rest", F.lit("?"), F.lit(1)))
+    df = df.withColumn("host", F.regexp_replace(F.lower("host"), r"^[.]+|[.]+$", "")).withColumn("path", F.when(c("bare") == "", "/").otherwise(without_dots(c("bare"))))
+    return df.select(*keep, "host", "path", F.concat("path", F.substr("rest", F.length("bare") + 1)).alias("full"))
 
 
 def _is_address(host: Column) -> Column:
@@ -85,10 +85,10 @@ def path_prefixes(path: Column, full: Column, most: int) -> Column:
 
 def compile_rules(rules: DataFrame, rule_col: str = "rule_id", pattern_col: str = "pattern", action_col: str = "action") -> DataFrame:
     """Rules with prefix, digest and specificity. A rule without a pattern or an action is left out."""
-    host, path, full = split_url(F.col(pattern_col))
+    given = rules.where(F.col(pattern_col).isNotNull() & F.col(action_col).isNotNull())
+    given = given.select(F.col(rule_col).alias("rule_id"), F.col(action_col).alias("action"), F.col(pattern_col).alias("pattern"))
     return (
-        rules.where(F.col(pattern_col).isNotNull() & F.col(action_col).isNotNull())
-        .select(F.col(rule_col).alias("rule_id"), F.col(action_col).alias("action"), host.alias("host"), full.alias("full"), path.alias("path"))
+        split_urls(given, F.col("pattern"), "rule_id", "action")
         .withColumn("expression", F.concat("host", "full"))
         .withColumn("digest", F.sha2("expression", 256))
         .withColumn("prefix", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"))
@@ -114,8 +114,7 @@ def match_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ruled = F.broadcast(ruled) if sizes["n"] <= broadcast_rules else ruled
     # the table is cut down to the two columns, under names of its own, so that none can clash
     page = pages.select(F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").alias("url"))
-    host, path, full = split_url(F.coalesce("url", F.lit("")))
-    parts = page.select("page", "url", host.alias("host"), path.alias("path"), full.alias("full"))
+    parts = split_urls(page, F.coalesce("url", F.lit("")), "page", "url")
     hosts = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(host_suffixes(F.col("host"), sizes["labels"] or 1))
     each = parts.select("page", "url", F.explode_outer(hosts).alias("suffix"), path_prefixes(F.col("path"), F.col("full"), sizes["slashes"] or 1).alias("prefixes"))
     each = each.select("page", "url", "suffix", F.explode("prefixes").alias("prefixed")).select("page", "url", F.concat("suffix", "prefixed").alias("expression"))

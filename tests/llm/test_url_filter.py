@@ -122,8 +122,7 @@ def test_columns_of_any_name_and_ids_of_any_type(spark, names):
 
 
 def test_sql_brings_urls_to_the_same_form(spark):
-    found = U.split_url(U.F.coalesce("url", U.F.lit("")))
-    got = spark.createDataFrame(list(enumerate(URLS)), "i long, url string").select("i", *(c.alias(n) for c, n in zip(found, ("host", "path", "full_path")))).collect()
+    got = U.split_urls(spark.createDataFrame(list(enumerate(URLS)), "i long, url string"), U.F.coalesce("url", U.F.lit("")), "i").collect()
     con = duckdb.connect()
     t = pa.table({"i": list(range(len(URLS))), "url": URLS})
     con.register("t", t)
