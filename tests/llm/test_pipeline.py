@@ -1,9 +1,16 @@
 import random
 
 import corpus_pipeline
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+import test_decontamination
+import test_language_id
+import test_line_dedup
+import test_simhash_dedup
 
-from sievewright.llm import queries
+from sievewright.llm import decontamination, language_id, line_dedup, queries, simhash_dedup
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +67,46 @@ def test_empty_documents(spark, tables, tmp_path):
 def test_every_operator_is_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_run_against_a_brute_force_version(spark, tables):
+    """Every stage once more in plain Python (the fitted language model and the fingerprints are given), the draw in SQL."""
+    base, rows = tables
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{base}/benchmark.parquet").collect()]
+    model = language_id.fit(spark.read.parquet(f"{base}/documents.parquet"))
+    left = []
+    for r in rows:
+        counts = test_language_id.plain_counts((r[1] or "").encode())
+        n = int(counts.sum())
+        if n and float((model.centroids @ test_language_id.plain_vector((r[1] or "").encode(), model.idf)).max()) >= model.floors[n.bit_length() - 1]:
+            left.append(r)
+    bitmaps = test_line_dedup.brute([r[:2] for r in left])
+    thin = []
+    for r in left:
+        kept = line_dedup.decode_runs(bitmaps[r[0]][2])
+        text = "\n".join(line for line, k in zip(r[1].split("\n"), kept) if k)
+        if text.strip(" \t\n\x0b\f\r"):
+            thin.append((r[0], text, *r[2:]))
+    near, _ = test_simhash_dedup.brute_links([r[1] for r in thin], simhash_dedup.MAX_DISTANCE)
+    gone, seen = set(), set()
+    for k in sorted((k for k, r in enumerate(thin) if r[0] is not None), key=lambda k: thin[k][0]):
+        group, todo = {k}, [k]
+        while todo:
+            for j in np.flatnonzero(near[todo.pop()]):
+                if thin[j][0] is not None and j not in group:
+                    group.add(int(j))
+                    todo.append(int(j))
+        if k not in seen:
+            gone |= group - {k}
+        seen |= group
+    thin = [r for k, r in enumerate(thin) if k not in gone]
+    leaks = {d for d, _ in test_decontamination.brute([(k, r[1]) for k, r in enumerate(thin)], items, decontamination.THRESHOLD, decontamination.OVERLAP)}
+    thin = [r for k, r in enumerate(thin) if k not in leaks]
+    con = duckdb.connect()
+    table = pa.table({c: pa.array([r[k] for r in thin], t) for k, (c, t) in enumerate({"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}.items())})
+    con.register("documents", table)
+    want = con.execute(f"SELECT doc_id, topic, n_tokens, probability FROM ({queries.ORACLES['op9_mixing']}) WHERE doc_id IS NOT NULL").fetchall()
+    out = corpus_pipeline.run(spark, base)
+    got = [tuple(r) for r in out.where("doc_id IS NOT NULL").select("doc_id", "topic", "n_tokens", "probability").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 30
+    assert {r["doc_id"]: r["text"] for r in out.collect() if r["doc_id"] is not None} == {r[0]: r[1] for r in thin if r[0] in {w[0] for w in want}}
