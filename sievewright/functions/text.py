@@ -9,10 +9,19 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 NOT_WORD = "[^A-Za-z_0-9]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often use() mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines(text: Column) -> Column:
     """The lines of a text at every Unicode line break; a final break opens no line, an empty text has none."""
-    parts = F.split(text, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_BREAK), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
+
+
+def head(text: Column, n: int) -> Column:
+    """The first n lines, joined by newlines; the rest of the text isn't split."""
+    return F.array_join(F.slice(F.split(text, LINE_BREAK, n + 1), F.lit(1), F.lit(n)), "\n")
 
 
 def occurrences(text: Column, needle: str) -> Column:
@@ -41,9 +50,13 @@ def token_set(text: Column) -> Column:
 
 def shingles(sequence: Column, n: int) -> Column:
     """The distinct runs of n neighbouring tokens, joined by blanks; none for a shorter sequence."""
-    last = F.size(sequence) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(sequence, i, F.lit(n)), " "))
-    return F.array_distinct(F.when(last >= 1, runs).otherwise(F.array().cast("array<string>")))
+
+    def of(s: Column) -> Column:
+        # element by element: a slice would copy the sequence for each of its places
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - n, F.lit(0))), lambda i: F.concat_ws(" ", *(F.get(s, i + k) for k in range(n))))
+        return F.array_distinct(F.when(F.size(s) >= n, runs).otherwise(F.array().cast("array<string>")))
+
+    return let(sequence, of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -65,6 +78,6 @@ def line_statistics(text: Column) -> tuple[Column, Column, Column]:
     """(longest line, mean line length, share of letters and digits), for tables that lack these columns."""
     sizes = F.transform(lines(text), F.length)
     longest = F.coalesce(F.array_max(sizes), F.lit(0))
-    mean = F.try_divide(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.size(sizes))
+    mean = let(sizes, lambda s: F.try_divide(F.aggregate(s, F.lit(0), lambda a, x: a + x), F.size(s)))
     alnum = F.try_divide(F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")), F.length(text))
     return longest, mean, alnum

@@ -44,7 +44,10 @@ def greedy_clusters(docs: DataFrame, id_col: str, text_col: str, path_col: str,
     banded = materialize(minhash.bands(signed, n_bands, rows), "bands")
     members = connected_components(minhash.star_edges(banded))
     keys = banded.join(members, "id").groupBy("component", "id").agg(F.collect_list(F.concat_ws(":", "band", "key")).alias("keys"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.transform(token_set(F.col(text_col)), lambda t: F.xxhash64(t)).alias("tokens"))
+    keys = materialize(keys, "keys")
+    # only the texts of documents in a component are read again
+    some = docs.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text")).join(keys.select("id"), "id", "left_semi")
+    texts = some.select("id", "path", F.transform(token_set(F.col("text")), lambda t: F.xxhash64(t)).alias("tokens"))
     full = keys.join(texts, "id")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 import warnings
 from collections.abc import Callable, Iterator
@@ -110,19 +111,61 @@ def comment_size(source: Column, language: Column) -> Column:
     return run(source, language)
 
 
-def compiles(source: Column) -> Column:
-    """Whether Python source compiles under this interpreter; sources for Python 2 alone count as failing."""
+#: Forms of Python 2 alone, and what says the same in Python 3; applied to code outside strings and comments.
+_PYTHON2 = (
+    (r"(?m)^([ \t]*(?:[^\n#]*?[:;])?[ \t]*)print[ \t]*>>[ \t]*([^,\n;]+),?[ \t]*([^\n;]*)", r"\1print(\3)"),
+    (r"(?m)^([ \t]*(?:(?:if|else|elif|for|while|try|except|finally|with|def)\b[^\n#]*?:|[^\n#]*?;)?[ \t]*)print(?=[ \t;\n]|$)(?![ \t]*[=.(\[])[ \t]*([^\n;#]*?),?[ \t]*(?=[;#\n]|$)", r"\1print(\2)"),
+    (r"(?m)^([ \t]*)print[ \t]+(\([^\n;#]*\)[^\n;#]*)", r"\1print(\2)"),
+    (r"(?m)^([ \t]*)exec[ \t]+(?![=(.])([^\n;#]+)", r"\1exec(\2)"),
+    (r"\bexcept[ \t]+([\w.]+|\([^()\n]*\))[ \t]*,[ \t]*(\w+)[ \t]*:", r"except \1 as \2:"),
+    (r"(?m)\braise[ \t]+([\w.]+)[ \t]*,[ \t]*([^\n;#]+)", r"raise \1(\2)"),
+    (r"<>", "!="),
+    (r"`([^`\n]*)`", r"repr(\1)"),
+    (r"\b(0[xX][0-9a-fA-F]+|[0-9]+)[lL]\b", r"\1"),
+    (r"\b0([0-7]+)\b(?![.eEjJ])", r"0o\1"),
+    (r"\b[uU][rR](?=S\d+S)", ""),
+)
+
+
+def as_python3(source: str) -> str:
+    """source with the statements and literals of Python 2 alone rewritten; strings and comments stay as they are."""
+    kept: list[str] = []
+
+    def hide(m: re.Match) -> str:
+        kept.append(m[0])
+        return f"S{len(kept) - 1}S" if m[0][0] != "#" else f"#S{len(kept) - 1}S"
 
-    def ok(s):
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
+    text = re.sub(r'''"""(?:\\.|[^\\])*?"""|\'\'\'(?:\\.|[^\\])*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|#[^\n]*''', hide, source, flags=re.S)
+    for old, new in _PYTHON2:
+        text = re.sub(old, new, text)
+    return re.sub(r"#?S(\d+)S", lambda m: kept[int(m[1])] if int(m[1]) < len(kept) else m[0], text)
+
+
+def python_version(source: str) -> int:
+    """3 if this interpreter compiles the source, 2 if it does after as_python3(), else 0."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for version, read in ((3, lambda: source), (2, lambda: as_python3(source))):
             try:
-                compile(s, "<source>", "exec")
-                return True
+                compile(read(), "<source>", "exec")
+                return version
             except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
-                return False
+                continue
+    return 0
 
-    return _mapped("boolean", ok)(source)
+
+def versions(source: Column) -> Column:
+    """python_version() of each source."""
+    return _mapped("int", python_version)(source)
+
+
+def compiles(source: Column) -> Column:
+    """Whether Python source compiles as Python 3 or, its Python 2 forms rewritten, as Python 2.
+
+    There is no Python 2 here, so the second is judged by as_python3(): print, exec and raise
+    statements, except clauses, <>, backquotes, octal and long literals.
+    """
+    return _mapped("boolean", lambda s: python_version(s) > 0)(source)
 
 
 def compile_report(df: DataFrame, source_col: str) -> DataFrame:
@@ -132,6 +175,12 @@ def compile_report(df: DataFrame, source_col: str) -> DataFrame:
     )
 
 
+def with_comment_ratio(df: DataFrame, source_col: str, language: Column) -> DataFrame:
+    """Adds nl_size (characters in comments) and nl_ratio (of the source; null for an empty one) of sources in any language with a lexer."""
+    out = df.withColumn("nl_size", comment_size(F.col(source_col), language))
+    return out.withColumn("nl_ratio", F.try_divide("nl_size", F.length(source_col)))
+
+
 class NgramClassifier:
     """Multinomial naive Bayes over hashed character n-grams: the default language classifier.
 

@@ -103,8 +103,8 @@ def candidate_pairs(banded: DataFrame) -> DataFrame:
     return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
 
 
-def benchmark_candidates(corpus: DataFrame, benchmark: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(id, item): documents and benchmark items that share a bucket. The benchmark side is broadcast while it is small."""
+def benchmark_candidates(corpus: DataFrame, benchmark: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """(id, item): documents and benchmark items that share a bucket. The benchmark side is broadcast up to broadcast_rows rows of some 100 bytes each."""
     items = benchmark.select(F.col("id").alias("item"), "band", "key")
     items = F.broadcast(items) if items.count() <= broadcast_rows else items
     return corpus.join(items, ["band", "key"]).select("id", "item").distinct()

@@ -58,7 +58,7 @@ def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
 
 def hash_shuffle(df: DataFrame, id_col: str, seed: int, n: int | None = None) -> DataFrame:
     """A permutation of the rows that depends on id and seed alone, or its first n rows."""
-    out = df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+    out = df.orderBy(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col)
     return out.limit(n) if n is not None else out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.text import letter_count, line_statistics, lines, occurrences
+from sievewright.functions.text import head, letter_count, line_statistics, occurrences
 
 CONFIG_OR_TEST_HEADS = ("configuration file", "test file", "unit tests")
 GENERATED_HEADS = ("autogenerated", "auto-generated", "automatically generated")
@@ -14,8 +14,7 @@ MATH = r"(?d)\$\$.*?\$\$|\\\(.*?\\\)|\\\[.*?\\\]"
 
 
 def _head_has(text: Column, phrases: tuple[str, ...], width: int) -> Column:
-    head = F.slice(lines(text), F.lit(1), F.lit(width))
-    return F.exists(head, lambda x: F.lower(x).rlike("|".join(phrases)))
+    return F.lower(head(text, width)).rlike("|".join(phrases))
 
 
 def is_config_or_test(text: Column, width: int = 5, share: int = 20) -> Column:
@@ -74,8 +73,9 @@ def removal_report(df: DataFrame, flag: Column, text_col: str) -> DataFrame:
     volume_removed_pct is of the old volume; volume_removed_pct_of_new divides by what is left, as
     some published reports do.
     """
-    size, gone = F.length(text_col), F.coalesce(flag, F.lit(False))
-    one = df.agg(
+    marked = df.select(F.length(text_col).alias("size"), F.coalesce(flag, F.lit(False)).alias("gone"))
+    size, gone = F.col("size"), F.col("gone")
+    one = marked.agg(
         F.count("*").alias("rows_before"),
         F.count_if(~gone).alias("rows_after"),
         F.sum(size).alias("volume_before"),
@@ -134,6 +134,35 @@ def comment_ratio_report(df: DataFrame, ratio: Column, low: float = 0.01, high:
     )
 
 
+def in_bands(df: DataFrame, value: Column, bounds: list[float]) -> DataFrame:
+    """For each bound the rows whose value is greater, as one table with `bound`; a null value is in none."""
+    rows = F.explode(F.filter(F.array(*(F.lit(float(b)) for b in bounds)), lambda b: value > b)).alias("bound")
+    return df.select(*df.columns, rows)
+
+
+def above(df: DataFrame, value: Column, bound: float) -> DataFrame:
+    """Rows whose value, such as a perplexity, is greater than the bound."""
+    return df.where(value > bound)
+
+
+def gap_at_least(df: DataFrame, a: Column, b: Column, gap: float) -> DataFrame:
+    """Rows where one loss exceeds the other by more than `gap`; a null on either side keeps nothing."""
+    return df.where(a - b > gap)
+
+
+def named(df: DataFrame, name: Column, pattern: str) -> DataFrame:
+    """Rows whose name a regular expression finds (a group of runs); null names have none."""
+    return df.where(F.coalesce(name.rlike(pattern), F.lit(False)))
+
+
+def complete_rows(df: DataFrame, columns: list[str], condition: Column | None = None) -> DataFrame:
+    """Rows without a null or an empty string in the columns, and for which the condition holds."""
+    kinds = dict(df.dtypes)
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & (F.col(c) != "")) if kinds[c] == "string" else df.where(F.col(c).isNotNull())
+    return df if condition is None else df.where(condition)
+
+
 def in_known_path(repository: Column, path: Column, known: str) -> Column:
     return F.contains(F.concat_ws("/", repository, path), F.lit(known))
 

@@ -142,6 +142,17 @@ def percentile_table(df: DataFrame, percents: list[float], columns: list[str]) -
     return wide.select(zipped.alias("r")).select(F.col("r.percent").alias("percent"), *(F.col(f"r.{c}").cast("long").alias(c) for c in columns))
 
 
-def render(events: Column) -> Column:
-    """A conversation as text: for each event its author, its text and a rule."""
-    return F.array_join(F.transform(events, lambda e: F.concat_ws("\n", F.concat(F.lit("author: "), F.coalesce(e["author"], F.lit(""))), e["text"], F.lit("-" * 75))), "\n")
+def render(events: Column, metadata: tuple[str, ...] = ()) -> Column:
+    """A conversation as text: for each event its author, its metadata fields, its text and a rule.
+
+    With metadata (action, type, title) the first line is "author: A, ACTION TYPE: TITLE".
+    """
+
+    def first_line(e: Column) -> Column:
+        author = F.concat(F.lit("author: "), F.coalesce(e["author"], F.lit("")))
+        if not metadata:
+            return author
+        *left, title = (F.coalesce(e[f].cast("string"), F.lit("")) for f in metadata)
+        return F.concat(author, F.lit(", "), F.concat_ws(" ", *left), F.lit(": "), title)
+
+    return F.array_join(F.transform(events, lambda e: F.concat_ws("\n", first_line(e), e["text"], F.lit("-" * 75))), "\n")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievewright.functions.text import jaccard, raw_tokens, sha1_hash32, shingles, token_set, tokens
+from sievewright.functions.text import jaccard, lines, raw_tokens, sha1_hash32, shingles, token_set, tokens
 from sievewright.operators import decontaminate, dedup, minhash, stats
-from sievewright.plans.common import sql_tokens, table
+from sievewright.plans.common import sql_lines, sql_tokens, table
 
 
 def distinct_tokens(spark, d):
@@ -22,24 +22,22 @@ def token_hashes(spark, d):
 
 
 def jaccard_neighbours(spark, d):
-    """Every document against the next one of its language."""
-    from pyspark.sql import Window
-
-    df = table(spark, d, "documents").select("doc_id", "lang", token_set(F.col("text")).alias("a"))
-    df = df.withColumn("b", F.lead("a").over(Window.partitionBy("lang").orderBy("doc_id"))).where("b IS NOT NULL")
+    """Every document against the one with the next id."""
+    df = table(spark, d, "documents").select("doc_id", token_set(F.col("text")).alias("a"))
+    df = df.join(df.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
     return df.select("doc_id", F.round(jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 def minhash_signatures(spark, d):
-    """Eight permutations over word 5-grams of every benchmark item."""
-    signed = minhash.signatures(table(spark, d, "benchmark"), "item_id", "text", num_perm=8, ngram=5)
-    return signed.select(F.col("id").alias("item_id"), F.posexplode("signature").alias("perm", "value"))
+    """256 permutations over word 5-grams of every document."""
+    signed = minhash.signatures(table(spark, d, "documents"), "doc_id", "text", num_perm=256, ngram=5)
+    return signed.select(F.col("id").alias("doc_id"), F.posexplode("signature").alias("perm", "value"))
 
 
 def lsh_buckets(spark, d):
     """Sizes of the buckets with more than one document."""
-    n_bands, rows = minhash.best_banding(0.7, 64)
-    banded = minhash.bands(minhash.signatures(table(spark, d, "documents"), "doc_id", "text", 64, 5), n_bands, rows)
+    n_bands, rows = minhash.best_banding(0.7, 256)
+    banded = minhash.bands(minhash.signatures(table(spark, d, "documents"), "doc_id", "text", 256, 5), n_bands, rows)
     return banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").select("band", "n", "least")
 
 
@@ -101,13 +99,16 @@ def substring_join(spark, d):
 
 
 def near_decontam_flags(spark, d):
-    out = decontaminate.near_matches(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
-    return out.select(F.col("id").alias("doc_id"), F.size("neighbours").cast("long").alias("n_neighbours"), F.round("best", 9).alias("best"))
+    """Every line of every document against the benchmark."""
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(lines(F.col("text"))).alias("line", "text"))
+    keyed = each.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string")).alias("place"), "text")
+    out = decontaminate.near_matches(keyed, table(spark, d, "benchmark"), "place", "text", "item_id", "text")
+    return out.select(F.col("id").alias("place"), F.size("neighbours").cast("long").alias("n_neighbours"), F.round("best", 9).alias("best"))
 
 
 def benchmark_max_similarity(spark, d):
-    """All benchmark items against all system turns of the conversations."""
-    turns = table(spark, d, "conversations").where("role = 'system'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    """All benchmark items against all turns of the conversations."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     out = decontaminate.greatest_similarity(table(spark, d, "benchmark"), turns, "item_id", "text", "text")
     return out.select(F.col("id").alias("item_id"), F.round("best", 9).alias("best"))
 
@@ -175,16 +176,39 @@ _EXACT = "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GRO
 _HITS = """SELECT d.doc_id, CASE WHEN min(b.item_id % 2) = 0 THEN 'even_match' ELSE 'odd_match' END AS reason
 FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY d.doc_id"""
 
+
+
+def _near_decontam_sql() -> str:
+    """MinHash of the distinct tokens of lines and items, 21 bands of 6 rows, and the exact similarity of what shares one."""
+    return f"""
+WITH perms(perm, a0, a1, b0, b1) AS (VALUES {_perms(128)}),
+each AS (SELECT doc_id, unnest({sql_lines('text')}) AS text, generate_subscripts({sql_lines('text')}, 1) - 1 AS line FROM documents),
+texts AS (SELECT doc_id || ':' || line AS place, NULL AS item, list_distinct({sql_tokens('text')}) AS w FROM each
+          UNION ALL SELECT NULL, item_id, list_distinct({sql_tokens('text')}) FROM benchmark),
+numbered AS (SELECT row_number() OVER () AS id, * FROM texts),
+hashed AS (SELECT id, {_HASH}::UBIGINT AS v FROM (SELECT id, sha1(unnest(w)) AS h FROM numbered)),
+least AS (
+  SELECT id, perm, min((((p >> 32) + v * a1 % {_TWO32} + b1 + (((p & {_LOW32}) + b0) >> 32)) % {_TWO32} * {_TWO32} + (((p & {_LOW32}) + b0) & {_LOW32})) % 2305843009213693951::UBIGINT & {_LOW32}) AS value
+  FROM (SELECT id, perm, v, a1, b0, b1, v * a0 AS p FROM hashed, perms) GROUP BY id, perm),
+signed AS (SELECT n.id, p.perm, coalesce(l.value, 4294967295) AS value FROM numbered n CROSS JOIN perms p LEFT JOIN least l ON l.id = n.id AND l.perm = p.perm),
+banded AS (SELECT id, perm // 6 AS band, string_agg(CAST(value AS VARCHAR), ',' ORDER BY perm) AS key FROM signed WHERE perm < 126 GROUP BY id, perm // 6),
+pairs AS (SELECT DISTINCT a.place, a.w AS aw, b.item, b.w AS bw FROM banded x JOIN numbered a ON a.id = x.id AND a.place IS NOT NULL
+          JOIN banded y ON y.band = x.band AND y.key = x.key JOIN numbered b ON b.id = y.id AND b.item IS NOT NULL)
+SELECT place, count(*) AS n_neighbours, round(max(len(list_intersect(aw, bw)) / greatest(1, len(list_distinct(aw || bw)))), 9) AS best FROM pairs GROUP BY place HAVING best >= 0.58"""
+
+
 ORACLES = {
     "distinct_tokens": f"SELECT doc_id, CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({sql_tokens('text')})) AS BIGINT) AS n_distinct FROM documents",
     "shingle_counts": """
-SELECT doc_id, CAST(len(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) AS BIGINT) AS n_shingles
-FROM (SELECT doc_id, string_split_regex(text, '[^A-Za-z_0-9]') AS w FROM documents)""",
+WITH w AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '[^A-Za-z_0-9]') AS l FROM documents)),
+g AS (SELECT doc_id, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, count(DISTINCT g) AS n_shingles FROM g GROUP BY doc_id""",
     "token_hashes": f"SELECT doc_id, {_HASH} AS hash FROM (SELECT doc_id, sha1(text) AS h FROM documents)",
     "jaccard_neighbours": f"""
 SELECT doc_id, round(len(list_intersect(a, b)) / greatest(1, len(list_distinct(a || b))), 9) AS similarity
-FROM (SELECT doc_id, a, lead(a) OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM (SELECT doc_id, lang, list_distinct({sql_tokens('text')}) AS a FROM documents)) WHERE b IS NOT NULL""",
-    "minhash_signatures": f"WITH {_signed('benchmark', 'item_id', 8)} SELECT id AS item_id, CAST(perm AS INTEGER) AS perm, value FROM signed",
+FROM (SELECT doc_id, list_distinct({sql_tokens('text')}) AS a FROM documents) JOIN (SELECT doc_id - 1 AS doc_id, list_distinct({sql_tokens('text')}) AS b FROM documents) USING (doc_id)""",
+    "lsh_buckets": f"WITH {_signed('documents', 'doc_id', 256)}, {_BANDED.format(rows=10, used=250)} SELECT CAST(band AS INTEGER) AS band, count(*) AS n, min(id) AS least FROM banded GROUP BY band, key HAVING count(*) > 1",
+    "minhash_signatures": f"WITH {_signed('documents', 'doc_id', 256)} SELECT id AS doc_id, CAST(perm AS INTEGER) AS perm, value FROM signed",
     "near_dup_components": f"WITH RECURSIVE {_signed('documents', 'doc_id', 256)}, {_BANDED.format(rows=10, used=250)}, {_COMPONENTS} SELECT id AS doc_id, component FROM components",
     "near_dedup_kept": f"""WITH RECURSIVE {_signed('documents', 'doc_id', 256)}, {_BANDED.format(rows=10, used=250)}, {_COMPONENTS}
 SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT id FROM components WHERE id <> component)""",
@@ -198,7 +222,8 @@ SELECT *, round((rows_after - rows_before) * 100.0::DOUBLE / rows_before, 6) AS
     "exact_decontam_reasons": f"SELECT reason, count(*) AS n FROM ({_HITS}) GROUP BY reason",
     "exact_decontam_clean": f"SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_HITS}))",
     "substring_join": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))",
+    "near_decontam_flags": _near_decontam_sql(),
     "benchmark_max_similarity": f"""
-WITH i AS (SELECT item_id, list_distinct({sql_tokens('text')}) AS a FROM benchmark), t AS (SELECT list_distinct({sql_tokens('text')}) AS b FROM conversations WHERE role = 'system')
+WITH i AS (SELECT item_id, list_distinct({sql_tokens('text')}) AS a FROM benchmark), t AS (SELECT list_distinct({sql_tokens('text')}) AS b FROM conversations)
 SELECT item_id, round(max(len(list_intersect(a, b)) / greatest(1, len(list_distinct(a || b)))), 9) AS best FROM i, t GROUP BY item_id""",
 }

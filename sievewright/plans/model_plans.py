@@ -2,85 +2,52 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from sievewright.functions import evaluation
-from sievewright.operators import clustering, extract, language_model
+from sievewright.operators import clustering, extract, language_model, quality, subwords
+from sievewright.plans.code_table import LEXED_SQL, PYTHON_SQL, lexed_sources, python_sources
 from sievewright.plans.common import sql_pass_at_k, table
+from sievewright.session import materialize
 
 KS = [1, 10, 100]
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 OBSERVED = [(100e6 * 2**k, 2e9 * 3**k, 3.9 * 0.93**k) for k in range(6)]
 LAW = evaluation.ScalingLaw()
 
 
-def _sources(spark, d):
-    """A Python source for every document; those of odd ids don't compile."""
-    doc = F.concat(F.lit('"""Notes on '), "source", F.lit('."""\n# written in '), "lang", F.lit(" #1\nx = "), F.col("doc_id").cast("string"), F.lit("  # id\n"))
-    return table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 1, F.concat(doc, F.lit("y = = 2\n"))).otherwise(doc).alias("code"))
-
-
 def python_comments(spark, d):
-    return _sources(spark, d).select("doc_id", extract.python_comments(F.col("code"), True).alias("comments"))
+    return python_sources(spark, d).select("doc_id", extract.python_comments(F.col("code"), True).alias("comments"))
 
 
 def python_docstrings(spark, d):
-    return _sources(spark, d).select("doc_id", F.array_join(extract.python_docstrings(F.col("code")), "|").alias("docstrings"))
+    return python_sources(spark, d).select("doc_id", F.array_join(extract.python_docstrings(F.col("code")), "|").alias("docstrings"))
 
 
 def natural_text(spark, d):
-    return extract.with_natural_text(_sources(spark, d), "code").select("doc_id", "nl_text", "nl_size", F.round("nl_ratio", 6).alias("nl_ratio"))
+    return extract.with_natural_text(python_sources(spark, d), "code").select("doc_id", "nl_text", "nl_size", F.round("nl_ratio", 6).alias("nl_ratio"))
 
 
 def comment_sizes(spark, d):
-    """Comments by lexer: a Java text of every document."""
-    code = F.concat(F.lit("/* about "), "source", F.lit(" */\nint x = 1; // "), "lang", F.lit("\n"))
-    df = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "no such language").otherwise("java").alias("kind"), code.alias("code"))
-    return df.select("doc_id", F.coalesce(extract.comment_size(F.col("code"), F.col("kind")), F.lit(-1)).alias("size"))
-
-
-def compile_flags(spark, d):
-    return _sources(spark, d).select("doc_id", extract.compiles(F.col("code")).alias("compiles"))
-
-
-def compile_report(spark, d):
-    return extract.compile_report(_sources(spark, d), "code").withColumn("invalid_pct", F.round("invalid_pct", 6))
-
-
-def _whole_sources(spark, d):
-    """The whole text of every document as docstring and as comment lines; odd ids have it as code too, so the text decides whether they compile."""
-    text = F.coalesce("text", F.lit(""))
-    quoted = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    noted = F.regexp_replace(text, "\r\n|\r|\n", "\n# ")
-    doc = F.concat(F.lit('"""'), quoted, F.lit('"""\n# '), noted, F.lit("\nx = "), F.col("doc_id").cast("string"), F.lit("  # id\n"))
-    return table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 1, F.concat(doc, text, F.lit("\n"))).otherwise(doc).alias("code"))
-
-
-def python_comments_whole(spark, d):
-    return _whole_sources(spark, d).select("doc_id", extract.python_comments(F.col("code"), True).alias("comments"))
-
-
-def python_docstrings_whole(spark, d):
-    return _whole_sources(spark, d).select("doc_id", F.array_join(extract.python_docstrings(F.col("code")), "|").alias("docstrings"))
-
-
-def natural_text_whole(spark, d):
-    return extract.with_natural_text(_whole_sources(spark, d), "code").select("doc_id", "nl_text", "nl_size", F.round("nl_ratio", 6).alias("nl_ratio"))
+    """Comments by the lexers of Java, JavaScript and Python; -1 where there is no lexer."""
+    out = extract.with_comment_ratio(lexed_sources(spark, d), "code", F.col("kind"))
+    return out.select("doc_id", F.coalesce("nl_size", F.lit(-1)).alias("size"), F.round(F.coalesce("nl_ratio", F.lit(-1.0)), 6).alias("nl_ratio"))
 
 
-def comment_sizes_whole(spark, d):
-    """The whole text of every document as a block comment and as line comments of a Java text."""
-    text = F.coalesce("text", F.lit(""))
-    block, lines = F.replace(text, F.lit("*/"), F.lit("* /")), F.regexp_replace(text, "\r\n|\r|\n", "\n// ")
-    code = F.concat(F.lit("/* "), block, F.lit(" */\nint x = 1; // "), lines, F.lit("\n"))
-    return table(spark, d, "documents").select("doc_id", extract.comment_size(code, F.lit("java")).alias("size"))
+def comment_ratio_report(spark, d):
+    """What a filter by the share of comments keeps."""
+    out = extract.with_comment_ratio(lexed_sources(spark, d), "code", F.col("kind")).where("nl_ratio IS NOT NULL")
+    return quality.comment_ratio_report(out.select("nl_ratio"), F.col("nl_ratio"))
 
 
-def compile_flags_whole(spark, d):
-    return _whole_sources(spark, d).select("doc_id", extract.compiles(F.col("code")).alias("compiles"))
+def compile_flags(spark, d):
+    return python_sources(spark, d).select("doc_id", extract.versions(F.col("code")).alias("version"), extract.compiles(F.col("code")).alias("compiles"))
 
 
-def compile_report_whole(spark, d):
-    return extract.compile_report(_whole_sources(spark, d), "code").withColumn("invalid_pct", F.round("invalid_pct", 6))
+def compile_report(spark, d):
+    return extract.compile_report(python_sources(spark, d), "code").withColumn("invalid_pct", F.round("invalid_pct", 6))
 
 
 def line_languages(spark, d):
@@ -99,30 +66,51 @@ def perplexity(spark, d):
     return out.select("doc_id", "n_pieces", F.round("perplexity", 4).alias("perplexity"))
 
 
-def perplexity_bands(spark, d):
+def _bands(scored):
     p = F.col("perplexity")
-    return perplexity(spark, d).agg(F.count("*").alias("docs"), F.count_if(p > 7).alias("above_7"), F.count_if(p > 20).alias("above_20"))
+    return scored.agg(F.count("*").alias("docs"), F.count_if(p > 7).alias("above_7"), F.count_if(p > 20).alias("above_20"))
+
+
+def perplexity_bands(spark, d):
+    return _bands(perplexity(spark, d))
+
+
+def perplexity_filter(spark, d):
+    """Documents with a perplexity above 7 and above 20."""
+    return quality.in_bands(perplexity(spark, d).select("doc_id", "perplexity"), F.col("perplexity"), [7, 20])
 
 
 def ngram_model(spark, d):
-    """The counts of a bigram model of the benchmark."""
-    return language_model.train(table(spark, d, "benchmark"), "text", 2)
+    """The counts of a bigram model of the documents."""
+    return language_model.train(table(spark, d, "documents"), "text", 2)
 
 
-def perplexity_5gram(spark, d):
+def _five_grams(spark, d):
     docs = table(spark, d, "documents")
-    out = language_model.perplexities(docs, ngram_model_5gram(spark, d), "doc_id", "text", 5)
+    model = materialize(language_model.train_kneser_ney(docs, "text", 5), "five")
+    return docs, model, language_model.discounts(model, 5)
+
+
+def perplexity_5gram(spark, d):
+    """By a 5-gram model of the documents with modified Kneser-Ney smoothing."""
+    docs, model, cuts = _five_grams(spark, d)
+    out = language_model.perplexities(docs, model, "doc_id", "text", 5, cuts)
     return out.select("doc_id", "n_pieces", F.round("perplexity", 4).alias("perplexity"))
 
 
 def perplexity_bands_5gram(spark, d):
-    p = F.col("perplexity")
-    return perplexity_5gram(spark, d).agg(F.count("*").alias("docs"), F.count_if(p > 7).alias("above_7"), F.count_if(p > 20).alias("above_20"))
+    return _bands(perplexity_5gram(spark, d))
 
 
 def ngram_model_5gram(spark, d):
-    """The counts of a 5-gram model of the documents."""
-    return language_model.train(table(spark, d, "documents"), "text", 5)
+    """The Kneser-Ney counts of a 5-gram model of the documents."""
+    return _five_grams(spark, d)[1]
+
+
+def bpe_token_counts(spark, d):
+    """Sub-word pieces of every document."""
+    pieces = subwords.bpe_pieces(F.col("text"), VOCABULARY)
+    return table(spark, d, "documents").select("doc_id", pieces.alias("p")).select("doc_id", F.size("p").alias("n_pieces"), F.size(F.array_distinct("p")).alias("n_distinct"))
 
 
 def kmeans_sizes(spark, d):
@@ -130,7 +118,7 @@ def kmeans_sizes(spark, d):
 
 
 def silhouettes(spark, d):
-    return clustering.silhouette_sweep(table(spark, d, "embeddings"), "embedding", range(2, 5))
+    return clustering.silhouette_sweep(table(spark, d, "embeddings"), "embedding", range(2, 9))
 
 
 def cluster_mean(spark, d):
@@ -145,12 +133,14 @@ def pooled_embeddings(spark, d):
 
 
 def standardized(spark, d):
+    """Every coordinate of every vector."""
     scaled = clustering.standardize(table(spark, d, "embeddings"), "embedding")
-    return scaled.select("vec_id", F.round(F.col("scaled")[0], 6).alias("s0"), F.round(F.col("scaled")[7], 6).alias("s7"))
+    return scaled.select("vec_id", F.posexplode("scaled").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
 def projected(spark, d):
-    return clustering.project(table(spark, d, "embeddings"), "embedding").select("vec_id", F.size("xy").alias("dims"))
+    """Two principal components of every vector; their signs are arbitrary."""
+    return clustering.project(table(spark, d, "embeddings"), "embedding").select("vec_id", F.round(F.abs(F.col("xy")[0]), 5).alias("x"), F.round(F.abs(F.col("xy")[1]), 5).alias("y"))
 
 
 def _results(spark, d):
@@ -181,14 +171,20 @@ def compute_overheads(spark, d):
     return spark.range(1, 16).select((F.col("id") / 10.0).alias("fraction")).select("fraction", F.round(LAW.data_factor(f), 6).alias("data_factor"), F.round(LAW.compute_overhead(f), 6).alias("overhead"))
 
 
-def _grid(spark):
-    axis = lambda name, *xs: spark.createDataFrame([(float(x),) for x in xs], f"{name} double")
-    return axis("a", 0, 5, 10).crossJoin(axis("b", 0, 5, 10)).crossJoin(axis("e", -0.5, 0, 0.5)).crossJoin(axis("alpha", 0.1, 0.3, 0.5)).crossJoin(axis("beta", 0.1, 0.3, 0.5))
+def _axes(spark, **axes):
+    """All points of a grid; its size is a parameter, not the data's."""
+    points = itertools.product(*(map(float, values) for values in axes.values()))
+    return spark.createDataFrame(list(points), ", ".join(f"{name} double" for name in axes))
+
+
+#: 6 * 6 * 5 * 5 * 5 points for direct evaluation, 4 ** 5 starts for the descent.
+GRID = {"a": (0, 5, 10, 15, 20, 25), "b": (0, 5, 10, 15, 20, 25), "e": (-1, -0.5, 0, 0.5, 1), "alpha": (0, 0.5, 1, 1.5, 2), "beta": (0, 0.5, 1, 1.5, 2)}
+STARTS = {"a": (0, 8, 16, 24), "b": (0, 8, 16, 24), "e": (-1, -0.3, 0.4, 1), "alpha": (0, 0.6, 1.3, 2), "beta": (0, 0.6, 1.3, 2)}
 
 
 def scaling_grid(spark, d):
     observed = F.broadcast(spark.createDataFrame(OBSERVED, "n double, d double, loss double"))
-    return evaluation.scaling_objective(_grid(spark), observed).withColumn("objective", F.round("objective", 9))
+    return evaluation.scaling_objective(_axes(spark, **GRID), observed).withColumn("objective", F.round("objective", 9))
 
 
 def scaling_best(spark, d):
@@ -197,7 +193,7 @@ def scaling_best(spark, d):
 
 
 def scaling_refined(spark, d):
-    return evaluation.refine_fit(_grid(spark), OBSERVED).agg(F.min("objective").alias("objective"), F.count("*").alias("starts"))
+    return evaluation.refine_fit(_axes(spark, **STARTS).repartition(64), OBSERVED).agg(F.min("objective").alias("objective"), F.count("*").alias("starts"))
 
 
 def inverse_law(spark, d):
@@ -213,16 +209,13 @@ QUERIES = {
         comment_sizes,
         compile_flags,
         compile_report,
-        python_comments_whole,
-        python_docstrings_whole,
-        natural_text_whole,
-        comment_sizes_whole,
-        compile_flags_whole,
-        compile_report_whole,
+        comment_ratio_report,
         line_languages,
         perplexity,
         perplexity_bands,
+        perplexity_filter,
         ngram_model,
+        bpe_token_counts,
         perplexity_5gram,
         perplexity_bands_5gram,
         ngram_model_5gram,
@@ -266,31 +259,35 @@ _G, _A, _B = LAW.g, LAW.opt_a, LAW.opt_b
 _SHARE = LAW.a * LAW.g**-LAW.alpha / (LAW.b * LAW.g**LAW.beta)
 _OBJECTIVE = f"""
 o(n, d, loss) AS (VALUES {', '.join(f'({n}::DOUBLE, {d}::DOUBLE, {y}::DOUBLE)' for n, d, y in OBSERVED)}),
-g AS (SELECT * FROM (SELECT unnest([0.0::DOUBLE, 5, 10]) AS a), (SELECT unnest([0.0::DOUBLE, 5, 10]) AS b), (SELECT unnest([-0.5::DOUBLE, 0, 0.5]) AS e),
-      (SELECT unnest([0.1::DOUBLE, 0.3, 0.5]) AS alpha), (SELECT unnest([0.1::DOUBLE, 0.3, 0.5]) AS beta)),
+g AS (SELECT * FROM {', '.join(f"(SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in values)}]) AS {name})" for name, values in GRID.items())}),
 x AS (SELECT a, b, e, alpha, beta, ln(exp(a - alpha * ln(n)) + exp(b - beta * ln(d)) + exp(e)) - ln(loss) AS x FROM g, o),
 grid AS (SELECT a, b, e, alpha, beta, round(sum(CASE WHEN abs(x) <= 0.001 THEN 0.5 * x * x ELSE 0.001 * (abs(x) - 0.0005) END), 9) AS objective FROM x GROUP BY ALL)"""
 
 ORACLES = {
-    "python_comments": "SELECT doc_id, ' written in ' || lang || ' 1 id' AS comments FROM documents",
-    "python_docstrings": "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN '' ELSE 'Notes on ' || source || '.' END AS docstrings FROM documents",
-    "natural_text": """
-SELECT doc_id, t AS nl_text, length(t) AS nl_size, round(length(t) / (length('\"\"\"Notes on .\"\"\"') + length(source) + length(lang) + length(CAST(doc_id AS VARCHAR)) + 29 + CASE WHEN doc_id % 2 = 1 THEN 8 ELSE 0 END), 6) AS nl_ratio
-FROM (SELECT *, CASE WHEN doc_id % 2 = 1 THEN '' ELSE 'Notes on ' || source || '.' || chr(10) || chr(10) || ' ' END || 'written in ' || lang || ' 1 id' AS t FROM documents)""",
-    "comment_sizes": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE length('/* about ' || source || ' */') + length('// ' || lang) END AS size FROM documents",
-    "compile_flags": "SELECT doc_id, doc_id % 2 = 0 AS compiles FROM documents",
-    "compile_report": "SELECT count(*) AS total, count(*) FILTER (doc_id % 2 = 0) AS valid, round(count(*) FILTER (doc_id % 2 = 1) * 100.0::DOUBLE / count(*), 6) AS invalid_pct FROM documents",
+    "python_comments": f"WITH {PYTHON_SQL} SELECT doc_id, comments FROM told",
+    "python_docstrings": f"WITH {PYTHON_SQL} SELECT doc_id, array_to_string(docstrings, '|') AS docstrings FROM told",
+    "natural_text": f"""
+WITH {PYTHON_SQL}, joined AS (SELECT *, regexp_replace(array_to_string(docstrings, chr(10)) || chr(10) || chr(10) || comments, '^\\s+|\\s+$', '', 'g') AS t FROM told)
+SELECT doc_id, t AS nl_text, length(t) AS nl_size, round(length(t) / length(code), 6) AS nl_ratio FROM joined""",
+    "comment_sizes": f"WITH {LEXED_SQL} SELECT doc_id, coalesce(size, -1) AS size, round(coalesce(size / length(code), -1.0::DOUBLE), 6) AS nl_ratio FROM lexed",
+    "comment_ratio_report": f"""
+WITH {LEXED_SQL}, r AS (SELECT size / length(code) AS r FROM lexed WHERE size IS NOT NULL)
+SELECT count(*) AS total, count(*) FILTER (r > 0.01 AND r <= 0.8) AS kept, count(*) FILTER (r < 1e-6) AS "none", count(*) FILTER (r < 0.01) AS below_low,
+       count(*) FILTER (r > 0.75) AS above_75, count(*) FILTER (r > 0.8) AS above_high, count(*) FILTER (r > 0.9) AS above_90 FROM r""",
+    "compile_flags": "SELECT doc_id, CAST(CASE WHEN doc_id % 6 < 3 THEN 3 WHEN doc_id % 6 = 4 THEN 2 ELSE 0 END AS INTEGER) AS version, doc_id % 6 IN (0, 1, 2, 4) AS compiles FROM documents",
+    "compile_report": """
+SELECT count(*) AS total, count(*) FILTER (doc_id % 6 IN (0, 1, 2, 4)) AS valid, round(count(*) FILTER (doc_id % 6 IN (3, 5)) * 100.0::DOUBLE / count(*), 6) AS invalid_pct FROM documents""",
     "perplexity": f"WITH {_PERPLEXITY} SELECT * FROM ppl",
     "perplexity_bands": f"WITH {_PERPLEXITY} SELECT count(*) AS docs, count(*) FILTER (perplexity > 7) AS above_7, count(*) FILTER (perplexity > 20) AS above_20 FROM ppl",
-    "ngram_model": f"""WITH {_steps('benchmark', 'item_id')} SELECT CAST(1 AS INTEGER) AS n, h AS history, nxt AS "next", c AS "count" FROM bi UNION ALL SELECT 0, '', nxt, CAST(c AS BIGINT) FROM uni""",
+    "perplexity_filter": f"WITH {_PERPLEXITY} SELECT doc_id, perplexity, bound FROM ppl, (VALUES (7.0::DOUBLE), (20.0::DOUBLE)) b(bound) WHERE perplexity > bound",
+    "ngram_model": f"""WITH {_steps('documents', 'doc_id')} SELECT CAST(1 AS INTEGER) AS n, h AS history, nxt AS "next", c AS "count" FROM bi UNION ALL SELECT 0, '', nxt, CAST(c AS BIGINT) FROM uni""",
     "cluster_mean": "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean FROM embeddings GROUP BY label",
     "pooled_embeddings": """
 SELECT label, CAST(place - 1 AS INTEGER) AS place, round(avg(CAST(v AS DOUBLE)), 6) AS value
 FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS place FROM embeddings) GROUP BY label, place""",
     "standardized": """
-WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[8] AS DOUBLE) AS b FROM embeddings)
-SELECT vec_id, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 6) AS s0, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 6) AS s7 FROM v""",
-    "projected": "SELECT vec_id, CAST(2 AS INTEGER) AS dims FROM embeddings",
+WITH v AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT vec_id, place, round((x - avg(x) OVER (PARTITION BY place)) / stddev_pop(x) OVER (PARTITION BY place), 6) AS value FROM v""",
     "pass_at_k": f"WITH {_RESULTS} SELECT user_id, CAST(k AS INTEGER) AS k, round({sql_pass_at_k('n', 'c', 'k')}, 9) AS rate FROM r, k",
     "pass_rates": f"""
 WITH {_RESULTS}, each AS (SELECT user_id % 10 AS cohort, CAST(k AS INTEGER) AS k, {sql_pass_at_k('n', 'c', 'k')} AS v FROM r, k)

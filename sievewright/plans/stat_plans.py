@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievewright.functions.text import letter_count
+from sievewright.functions.text import letter_count, token_set
 from sievewright.operators import mixture, projection, stats
 from sievewright.operators.extract import language_report
-from sievewright.plans.common import table
+from sievewright.plans.common import sql_tokens, table
 
 EPOCHS, BUDGET = 5.0, 400_000.0
 VIRTUAL = [("notebooks", 20_000.0), ("issues", 100_000.0), ("commits", 80_000.0)]
@@ -45,7 +45,10 @@ def role_counts(spark, d):
 
 
 def distinct_words(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count_distinct("source").alias("sources"), F.count_distinct("text").alias("texts"))
+    """Distinct words, sources and texts by language."""
+    docs = table(spark, d, "documents")
+    words = docs.select("lang", F.explode(token_set(F.col("text"))).alias("w")).groupBy("lang").agg(F.count_distinct("w").alias("words"))
+    return docs.groupBy("lang").agg(F.count_distinct("source").alias("sources"), F.count_distinct("text").alias("texts")).join(words, "lang")
 
 
 def largest_documents(spark, d):
@@ -138,7 +141,10 @@ SELECT lang, percent, round(CASE percent {_CASES} END, 6) AS n_chars FROM docume
 WITH m AS (SELECT lang, length(regexp_replace(text, '\P{L}', '', 'g')) AS a, length(text) AS b FROM documents)
 SELECT lang, round(sum(a) * 100.0::DOUBLE / nullif(sum(b), 0), 6) AS ratio_of_sums, round(avg(a::DOUBLE / nullif(b, 0)) * 100, 6) AS mean_of_ratios FROM m GROUP BY lang""",
     "role_counts": "SELECT role, count(*) AS n FROM conversations GROUP BY role",
-    "distinct_words": "SELECT lang, count(DISTINCT source) AS sources, count(DISTINCT text) AS texts FROM documents GROUP BY lang",
+    "distinct_words": f"""
+SELECT lang, sources, texts, words FROM (SELECT lang, count(DISTINCT source) AS sources, count(DISTINCT text) AS texts FROM documents GROUP BY lang)
+JOIN (SELECT lang, count(DISTINCT w) AS words FROM (SELECT lang, unnest({sql_tokens('text')}) AS w FROM documents) GROUP BY lang) USING (lang)""",
+    "seeded_sample": "SELECT doc_id, lang FROM documents ORDER BY md5(concat_ws(':', CAST(doc_id AS VARCHAR), '42')), doc_id LIMIT 100",
     "largest_documents": "SELECT doc_id, coalesce(n_chars, 0) AS n_chars FROM documents ORDER BY 2 DESC, 1 LIMIT 20",
     "first_sources": "SELECT source, min(doc_id) AS first FROM documents GROUP BY source".replace("first", '"first"'),
     "call_averages": """

@@ -67,7 +67,11 @@ def thread_percentiles(spark, d):
 
 
 def thread_render(spark, d):
-    return _threads(spark, d).select("conv_id", threads.render(F.col("events")).alias("rendered"))
+    """Conversations as text, plain and with the metadata of every event."""
+    turns = table(spark, d, "conversations").withColumn("author", _author())
+    event = F.struct("turn", "author", "text", F.lit("created").alias("action"), F.col("role").alias("type"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("title"))
+    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(event)).alias("events"))
+    return rows.select("conv_id", threads.render(F.col("events")).alias("rendered"), threads.render(F.col("events"), ("action", "type", "title")).alias("detailed"))
 
 
 def email_strip(spark, d):
@@ -120,7 +124,8 @@ SELECT '6000-7000', count(*) FROM c WHERE text_size BETWEEN 6000 AND 7000 UNION
 SELECT 'one', count(*) FROM c WHERE event_count = 1 UNION ALL SELECT 'two', count(*) FROM c WHERE event_count = 2 UNION ALL SELECT 'ten or more', count(*) FROM c WHERE event_count >= 10""",
     "thread_percentiles": f"WITH {_COUNTED} SELECT percent, {_at('user_count')}, {_at('event_count')}, {_at('text_size')} FROM c, {_PERCENTS} GROUP BY percent",
     "thread_render": """
-SELECT conv_id, string_agg(concat_ws(chr(10), 'author: ' || CASE role WHEN 'system' THEN 'release-watch[bot]' WHEN 'assistant' THEN 'helper' ELSE 'asker' END, text, repeat('-', 75)), chr(10) ORDER BY turn) AS rendered
+SELECT conv_id, string_agg(concat_ws(chr(10), 'author: ' || CASE role WHEN 'system' THEN 'release-watch[bot]' WHEN 'assistant' THEN 'helper' ELSE 'asker' END, text, repeat('-', 75)), chr(10) ORDER BY turn) AS rendered,
+       string_agg(concat_ws(chr(10), 'author: ' || CASE role WHEN 'system' THEN 'release-watch[bot]' WHEN 'assistant' THEN 'helper' ELSE 'asker' END || ', created ' || role || ': turn ' || turn, text, repeat('-', 75)), chr(10) ORDER BY turn) AS detailed
 FROM conversations GROUP BY conv_id""",
     "email_strip": r"SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text FROM conversations",
 }

@@ -82,6 +82,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at, files = _files(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that materialize() gave, once everything that reads them has run."""
     for df in tables:

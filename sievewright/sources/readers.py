@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ def read_corpus(spark: SparkSession, path: str, partition: dict[str, str] | None
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make up one split at most (a single row group, say); any larger table stays as it is read."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism) if 1 << 20 <= size <= split else df
+
+
 def with_row_id(df: DataFrame, order: list[str], id_col: str = "__id__") -> DataFrame:
     """Dense ids from 0 in a total order, without pulling the table through one task.
 
@@ -35,6 +46,11 @@ def with_row_id(df: DataFrame, order: list[str], id_col: str = "__id__") -> Data
     return ranged.withColumn(id_col, (offset[F.col("__part")] + F.col("__at")).cast("long")).drop("__part", "__at")
 
 
+def read_params(spark: SparkSession, path: str) -> dict:
+    """What writers.write_params() wrote. Parameters are few by nature; they come to the driver."""
+    return {r["name"]: json.loads(r["value"]) for r in spark.read.schema("name string, value string").json(path).collect()}
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """JSON lines under a path or glob."""
     reader = spark.read.schema(schema) if schema else spark.read

@@ -78,6 +78,62 @@ def test_greedy_clusters_reduce_to_extremes(spark, corpus):
     assert sum(len(r["members"]) for r in dedup.nested_clusters(clusters).collect()) == len(rows)
 
 
+def plain_replay(texts, threshold=0.85, least=10):
+    """The sequential rule: look up, open or join a cluster, insert; then the extremes of each cluster."""
+    import hashlib
+    import re
+
+    a, b = (list(map(int, x)) for x in minhash.permutations(256))
+    n_bands, rows = minhash.best_banding(threshold, 256)
+    table, clusters = [{} for _ in range(n_bands)], {}
+    words = {}
+    for i, t in enumerate(texts):
+        w = [x for x in re.split("[^A-Za-z_0-9]", t) if x]
+        if len(w) < least:
+            continue
+        words[i] = set(w)
+        hashes = [int.from_bytes(hashlib.sha1(x.encode()).digest()[:4], "little") for x in words[i]]
+        signature = [min(((h * p + q) % 2**64) % (2**61 - 1) & (2**32 - 1) for h in hashes) for p, q in zip(a, b)]
+        keys = [tuple(signature[k * rows : (k + 1) * rows]) for k in range(n_bands)]
+        close = sorted({j for k, key in enumerate(keys) for j in table[k].get(key, [])})
+        for k, key in enumerate(keys):
+            table[k].setdefault(key, []).append(i)
+        if close:
+            base = next((j for j in close if j in clusters), close[0])
+            clusters.setdefault(base, set()).add(i)
+    out, extreme = set(), {}
+    for base, rest in clusters.items():
+        extremes = []
+        for i in [base, *sorted(rest)]:
+            for e in extremes:
+                if len(words[i] & words[e[0]]) / len(words[i] | words[e[0]]) >= threshold:
+                    e[1] += 1
+                    break
+            else:
+                extremes.append([i, 1])
+        extreme.update({i: n for i, n in extremes})
+    for base, rest in clusters.items():
+        out |= {(base, i, extreme.get(i), i in extreme) for i in [base, *rest]}
+    return out
+
+
+def test_greedy_clusters_against_a_plain_replay(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    bases = [[word() for _ in range(50)] for _ in range(5)]
+    texts = []
+    for k in range(70):
+        w = list(rng.choice(bases)) if k % 4 else [word() for _ in range(40)]
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    texts += ["too few words", texts[0], texts[0]]
+    df = spark.createDataFrame([(i, t, f"p{i}") for i, t in enumerate(texts)], SCHEMA)
+    got = {(r["cluster"], r["id"], r["copies"], r["is_extreme"]) for r in dedup.greedy_clusters(df, "id", "text", "path").collect()}
+    want = plain_replay(texts)
+    assert got == want and len(want) > 20 and any(not r[3] for r in want)
+
+
 def test_exact_dedup(spark):
     df = spark.createDataFrame([(3, "a", "x"), (1, "a", "x"), (2, "b", "x"), (4, None, "x"), (5, None, "x")], SCHEMA)
     assert {r["id"] for r in dedup.drop_exact(df, "id", "text").collect()} == {1, 2, 4, 5}

@@ -57,7 +57,7 @@ def test_shards_keep_order(spark, tmp_path):
     df = spark.range(100).repartition(5)
     assert writers.shard_count(2500, 1000) == 3 and writers.shard_count(2500, 1000, 0.1) == 1
     assert writers.write_shards(df, f"{tmp_path}/s", "id", 3500, 1000) == 4
-    parts = [[r["id"] for r in spark.read.parquet(str(p)).collect()] for p in sorted((tmp_path / "s").glob("part-*"))]
+    parts = [[r["id"] for r in spark.read.parquet(str(p)).collect()] for p in sorted((tmp_path / "s").glob("train-*.parquet"))]
     assert [x for p in parts for x in p] == list(range(100)) and len(parts) == 4
 
 
@@ -66,7 +66,7 @@ def test_other_sinks(spark, tmp_path):
     writers.write_token_text(df, f"{tmp_path}/t", "t")
     assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/t").collect()) == ["", "a b", "c"]
     writers.write_json(df, f"{tmp_path}/j")
-    assert {json.loads(x)["id"] for p in (tmp_path / "j").glob("part-*") for x in p.read_text().splitlines()} == {1, 2, 3}
+    assert {json.loads(x)["id"] for p in (tmp_path / "j").glob("train-*.parquet") for x in p.read_text().splitlines()} == {1, 2, 3}
     writers.write_split(df, F.col("flag"), f"{tmp_path}/kept", f"{tmp_path}/gone")
     assert {r["id"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()} == {1, 3} and {r["id"] for r in spark.read.parquet(f"{tmp_path}/gone").collect()} == {2}
     assert {tuple(r) for r in writers.merge_counters(spark.createDataFrame([("a", 1), ("a", 2)], "k string, n int"), "k", "n").collect()} == {("a", 3)}
