@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievewright.llm import words as W
 from sievewright.session import materialize
@@ -302,6 +303,7 @@ def contaminated(
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    item_type = to_arrow_type(item_kind)
     schema = f"`{id_col}` {kind.simpleString()}, item_id {item_kind.simpleString()}, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
@@ -317,7 +319,7 @@ def contaminated(
                         yield pa.RecordBatch.from_arrays(
                             [
                                 part.column(0).take(pa.array([k[0] for k in keys])),
-                                pa.array([index.ids[k[1]] for k in keys]),
+                                pa.array([index.ids[k[1]] for k in keys], item_type),
                                 *(pa.array(vals[:, c].copy()) for c in range(3)),
                             ],
                             names=[id_col, "item_id", "score", "question_overlap", "answer_overlap"],

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievewright.llm import keys as K
 from sievewright.llm import words as W
@@ -411,6 +412,7 @@ def spans_in(
     if size > reference_bytes:
         raise ValueError(f"the reference has {size} bytes, more than {reference_bytes}")
     kind, ref_kind = docs.schema[id_col].dataType.simpleString(), reference.schema[ref_id_col].dataType.simpleString()
+    ref_type = to_arrow_type(reference.schema[ref_id_col].dataType)
     schema = f"`{id_col}` {kind}, digest long, s long, e long, shard int, first_id {ref_kind}"
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).distinct()
 
@@ -425,7 +427,7 @@ def spans_in(
                     found = [(i, *span) for i in range(part.num_rows) if bound[i + 1] - bound[i] >= min_words for span in spans_of(auto.match(h[bound[i] : bound[i + 1]].tolist()), min_words)]
                     at = pa.array([f[0] for f in found], pa.int64())
                     columns = [part.column(0).take(at), part.column(1).take(at), *(pa.array([f[c] for f in found], pa.int64()) for c in (1, 2))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([number] * len(found), pa.int32()), pa.array([f[3] for f in found])], names=[id_col, "digest", "s", "e", "shard", "first_id"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([number] * len(found), pa.int32()), pa.array([f[3] for f in found], ref_type)], names=[id_col, "digest", "s", "e", "shard", "first_id"])
 
         return run
 

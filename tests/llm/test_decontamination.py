@@ -107,6 +107,14 @@ def test_separate_answers(spark, docs_of):
     assert [r["doc_id"] for r in got] == [1]
 
 
+def test_ids_of_narrow_and_other_types(spark, docs_of):
+    text = "a question of some words and its answer too"
+    for kind, one in (("int", 1), ("smallint", 1), ("string", "a"), ("decimal(9,0)", 1)):
+        bench = spark.createDataFrame([(str(one), text)], "item_id string, text string").withColumn("item_id", D.F.col("item_id").cast(kind))
+        got = D.contaminated(docs_of([(5, f"x {text} y"), (6, "nothing")]), bench).collect()
+        assert [(r["doc_id"], r["item_id"]) for r in got] == [(5, one)]
+
+
 def test_empty_tables(spark, docs_of):
     bench = spark.createDataFrame([(1, "some item text")], ITEMS)
     assert D.contaminated(docs_of([]), bench).count() == 0

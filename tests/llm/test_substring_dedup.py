@@ -103,6 +103,14 @@ def test_broadcast_automata_of_a_reference(spark, docs_of):
         got = out.collect()
         assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == brute_in(rows, refs, 10) and len(got) == len({tuple(r) for r in got}) > 20
         assert out.columns == ["doc_id", "digest", "start_word", "end_word", "first_id"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        # batches in which nothing is found, and ids of a narrow type
+        narrow = spark.createDataFrame([(7, refs[0][1])], "ref smallint, body string")
+        out = S.spans_in(df.coalesce(1), narrow, ref_id_col="ref", ref_text_col="body", min_words=10).collect()
+        assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in out} == brute_in(rows, [(7, refs[0][1])], 10) and {r["first_id"] for r in out} == {7}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert S.spans_in(df, reference.limit(0), ref_id_col="ref", ref_text_col="body").count() == 0
     assert S.spans_in(docs_of([]), reference, ref_id_col="ref", ref_text_col="body").count() == 0
     try:
