@@ -2,19 +2,20 @@
 
 A document's features are all its distinct folded words. Every feature votes on 128 bits.
 
-Search: a fingerprint is embedded as the bit counts (0 to 2) of its 64 two-bit segments. The
-Manhattan distance of two embeddings is at most the Hamming distance of the fingerprints. Written in
-unary (0 as 00, 1 as 01, 2 as 11) the embedding is 128 bits again, and its Manhattan distance two
-popcounts. Candidates come from a grid: each of T tables takes S segments and puts a fingerprint in
-the cell of their counts. Within a cell every pair is first held to the Manhattan bound, of the
-first half of the segments and then of all, and what is left to the exact Hamming distance.
-
-S follows from the number of distinct fingerprints (a cell holds some STRANGERS at any corpus size)
-and T from S, so that a pair at the greatest distance shares a cell with probability `recall`, by
-the exact chance with segments drawn without replacement; nearer pairs do so more surely. For 20 bits
-and 0.99 T is 37 at 236 thousand fingerprints, 201 at 14 million, 2,134 at 10**9 and 18,338 at
-5 * 10**10, some n**0.5: beyond 10**9 documents a smaller max_distance is called for. (The counts of 20
-differences leave no exact grid of sub-quadratic work: see README.)
+Search: the 128 bits are dealt to parts, each with a radius, such that two fingerprints at most
+max_distance apart differ in at most `radius` bits of some part (the sum of radius + 1 is
+max_distance + 1). A part of radius r has 2**(r + 1) - 1 tables, each with a mask of some half of its
+bits, and whichever r of them differ, one mask has none of these (see covering()). So in one table at
+least the two share the cell of the masked bits: no pair within the distance is left out, at any
+corpus size. Within a cell every pair is first held to the distance of the first half of the bits,
+then to the Manhattan bound, and what is left to the exact Hamming distance. The bound: a fingerprint
+is embedded as the bit counts (0 to 2) of its 64 two-bit segments. The Manhattan distance of two
+embeddings is at most the Hamming distance of the fingerprints. Written in unary (0 as 00, 1 as 01, 2
+as 11) the embedding is 128 bits again, and its Manhattan distance two popcounts.
+
+Fewer parts have more tables of smaller cells; grid_plan takes the number with the least work. For 20
+bits that is 44 tables at 236 thousand fingerprints, 156 at 14 million, 381 at 10**9 and 3,070 at
+5 * 10**10.
 
 Equal fingerprints are one class before the search, so exact copies cost one row. A pair that shares
 several cells counts in one of them, the one of the first table. A cell with many pairs emits a
@@ -25,8 +26,8 @@ and none is cut off.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,10 @@ from sievewright.session import materialize
 
 BITS, SEGMENTS = 128, 64
 MAX_DISTANCE = 20
-RECALL = 0.99
-STRANGERS = 1000.0
+RECALL = 1.0  # the grid leaves no pair out
+STRANGERS = 1000.0  # a row of a table costs as much as comparing it with so many others
 HOT = 8192
+SCAN = 1 << 16  # pairs looked at in one go: their differences stay in cache
 _ODD = np.uint64(0x5555555555555555)
 _LOW = np.uint64((1 << 48) - 1)
 _ONE = np.uint64(1)
@@ -87,30 +89,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints, "id long, f0 long, f1 long")
 
 
-def shared_cell(distance: int, s: int, tables: int) -> float:
-    """Probability that two fingerprints which differ in `distance` random bits share a cell in one of the tables of s distinct segments each."""
-    miss = 0.0
-    for both in range(max(0, distance - SEGMENTS), distance // 2 + 1):
-        single = distance - 2 * both
-        p = math.comb(SEGMENTS, both) * math.comb(SEGMENTS - both, single) * 2**single / math.comb(BITS, distance)
-        for k in range(both + 1):  # of the segments that differ in both bits, every second has equal counts
-            m = single + k
-            one = math.comb(SEGMENTS - m, s) / math.comb(SEGMENTS, s)
-            miss += p * math.comb(both, k) / 2**both * (1 - one) ** tables
-    return 1 - miss
-
-
-def grid_plan(n: int, distance: int, recall: float, strangers: float = STRANGERS) -> tuple[int, int]:
-    """(segments in a cell's key, tables) for n fingerprints, so that a pair `distance` bits apart shares a cell with probability `recall`."""
-    alike = 1 / 16 + 1 / 4 + 1 / 16  # two random segments have equal counts
-    s = min(SEGMENTS // 2, max(4, math.ceil(math.log(max(n, 2) / strangers) / -math.log(alike))))
-    few, many = 0, 4
-    while shared_cell(distance, s, many) < recall:
-        few, many = many, 2 * many
-    while many - few > 1:
-        half = (few + many) // 2
-        few, many = (few, half) if shared_cell(distance, s, half) >= recall else (half, many)
-    return s, max(4, many)
+@lru_cache
+def covering(radius: int, bits: int) -> np.ndarray:
+    """Masks (rows) over a part's bits, such that for any `radius` of the bits some mask has none of them.
+
+    Bits and masks are vectors of radius + 1 dimensions over GF(2), masks all but zero; a mask has the
+    bits that aren't orthogonal to it, and some vector is orthogonal to any `radius` others. Each bit
+    takes the vector that leaves the least rows in the cells.
+    """
+    v = np.arange(1, 2 << radius)
+    odd = (np.bitwise_count(v[:, None] & v) & 1).astype(bool)
+    rows, taken = np.ones(len(v)), []
+    for _ in range(bits):
+        taken.append(int(np.argmax(rows @ odd)))
+        rows[odd[:, taken[-1]]] /= 2
+    return odd[:, taken]
+
+
+def part_sizes(radii: tuple[int, ...]) -> list[int]:
+    """The bits of each part, shared out such that the cells of all tables are alike."""
+    share = np.cumsum([2 - 0.5**r for r in radii])
+    return np.diff(np.rint(BITS * share / share[-1]).astype(int), prepend=0).tolist()
+
+
+def shared_cell(distance: int, radii: tuple[int, ...], tables: int) -> float:
+    """The least probability, over any two fingerprints `distance` apart, that they share a cell: beyond the distance of the plan nothing is promised."""
+    return float(distance < sum(r + 1 for r in radii))
+
+
+def grid_plan(n: int, distance: int, recall: float = RECALL, strangers: float = STRANGERS) -> tuple[tuple[int, ...], int]:
+    """(radius of each part, tables) for n fingerprints, so that any pair at most `distance` bits apart shares a cell, whatever recall asks for."""
+    best, least = None, np.inf
+    for parts in range(min(distance + 1, BITS), 0, -1):
+        radius, more = divmod(distance + 1, parts)
+        radii = (radius,) * more + (radius - 1,) * (parts - more)
+        tables = sum((2 << r) - 1 for r in radii)
+        if tables * strangers >= least:
+            break
+        alike = sum((0.5 ** covering(r, b).sum(1)).sum() for r, b in zip(radii, part_sizes(radii)))
+        if tables * strangers + n * alike < least:
+            best, least = (radii, tables), tables * strangers + n * alike
+    return best
 
 
 def embed(f: np.ndarray) -> np.ndarray:
@@ -120,21 +139,25 @@ def embed(f: np.ndarray) -> np.ndarray:
 
 
 class Grid:
-    """The tables: for each the mask of its segments in both halves of the embedding."""
-
-    def __init__(self, s: int, tables: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.m0, self.m1 = np.zeros(tables, np.uint64), np.zeros(tables, np.uint64)
-        for t in range(tables):
-            for g in rng.choice(SEGMENTS, s, replace=False).tolist():
-                (self.m0 if g < 32 else self.m1)[t] |= np.uint64(3 << 2 * (g % 32))
-
-    def cell(self, t0: np.ndarray, t1: np.ndarray, t) -> np.ndarray:
-        """The cells of embeddings in table t (or in a table for each)."""
-        return W.mix(W.mix((t0 & self.m0[t]) + np.asarray(t, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + (t1 & self.m1[t]))
+    """The tables: for each the mask of its bits in both halves of the fingerprint."""
+
+    def __init__(self, radii: tuple[int, ...], tables: int, seed: int):
+        order = np.split(np.random.default_rng(seed).permutation(BITS), np.cumsum(part_sizes(radii))[:-1])
+        on = np.zeros((tables, BITS), np.uint8)
+        t = 0
+        for radius, bits in zip(radii, order):
+            masks = covering(radius, len(bits))
+            on[t : t + len(masks), bits] = masks
+            t += len(masks)
+        masks = np.packbits(on, axis=1).view(np.uint64)
+        self.m0, self.m1 = masks[:, 0].copy(), masks[:, 1].copy()
+
+    def cell(self, f0: np.ndarray, f1: np.ndarray, t) -> np.ndarray:
+        """The cells of fingerprints in table t (or in a table for each)."""
+        return W.mix(W.mix((f0 & self.m0[t]) + np.asarray(t, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + (f1 & self.m1[t]))
 
     def first(self, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
-        """The first table in which pairs whose embeddings differ by x0, x1 share a cell; -1 for none."""
+        """The first table in which pairs whose fingerprints differ by x0, x1 share a cell; -1 for none."""
         out, left = np.full(len(x0), -1), np.arange(len(x0))
         for t in range(len(self.m0)):
             if not left.size:
@@ -149,11 +172,11 @@ def _cells(grid: Grid):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = len(grid.m0)
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
+            step = max(1, (1 << 16) // tables)
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
                 f0, f1 = (part.column(c).to_numpy() for c in (0, 1))
-                t0, t1 = embed(f0.view(np.uint64)), embed(f1.view(np.uint64))
-                cells = np.concatenate([grid.cell(t0, t1, t) for t in range(tables)]).view(np.int64)
+                cells = np.concatenate([grid.cell(f0.view(np.uint64), f1.view(np.uint64), t) for t in range(tables)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.tile(f0, tables)), pa.array(np.tile(f1, tables))], names=["cell", "f0", "f1"])
 
     return run
@@ -192,15 +215,17 @@ class Verifier:
     def __init__(self, grid: Grid, limit: int):
         self.grid, self.limit = grid, limit
 
-    def _checked(self, a, b, f0, f1, t0, t1, cell):
-        """Of candidate pairs (places a, b) those within the limit: the bound, then the distance, then whether this is their cell."""
-        x0, x1 = t0[a] ^ t0[b], t1[a] ^ t1[b]
-        ok = np.bitwise_count(x0) + np.bitwise_count(x1) <= self.limit
-        a, b, x0, x1 = a[ok], b[ok], x0[ok], x1[ok]
+    def _near(self, a, b, f0, f1, t0, t1):
+        """Of candidate pairs (places a, b) those within the limit: the bound, then the distance."""
+        ok = np.bitwise_count(t0[a] ^ t0[b]) + np.bitwise_count(t1[a] ^ t1[b]) <= self.limit
+        a, b = a[ok], b[ok]
         ok = np.bitwise_count(f0[a] ^ f0[b]) + np.bitwise_count(f1[a] ^ f1[b]) <= self.limit
-        a, b, x0, x1 = a[ok], b[ok], x0[ok], x1[ok]
-        t = self.grid.first(x0, x1)
-        ok = (t >= 0) & (self.grid.cell(t0[a], t1[a], np.maximum(t, 0)) == cell[a])
+        return a[ok], b[ok]
+
+    def _counted(self, a, b, f0, f1, cell):
+        """Of near pairs those whose first cell is this one."""
+        t = self.grid.first(f0[a] ^ f0[b], f1[a] ^ f1[b])
+        ok = (t >= 0) & (self.grid.cell(f0[a], f1[a], np.maximum(t, 0)) == cell[a])
         return a[ok], b[ok]
 
     def links(self, cell, f0, f1, start: np.ndarray, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -209,41 +234,48 @@ class Verifier:
         t0, t1 = embed(f0), embed(f1)
         n, size = len(f0), np.diff(start)
         degree = np.zeros(n, np.int64)
+        near: list[tuple[np.ndarray, np.ndarray]] = []
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         of = np.repeat(np.where((size <= 64) & (side is None), start[:-1], -1), size)
         for k in range(1, int(size[size <= 64].max(initial=1)) if side is None else 0):
             a = np.flatnonzero((of[k:] == of[:-k]) & (of[k:] >= 0))
             if not a.size:
                 break
-            a = a[np.bitwise_count(t0[a] ^ t0[a + k]) <= self.limit]
-            a, b = self._checked(a, a + k, f0, f1, t0, t1, cell)
-            edges.append((a, b))
+            a = a[np.bitwise_count(f0[a] ^ f0[a + k]) <= self.limit]
+            near.append(self._near(a, a + k, f0, f1, t0, t1))
         for g in range(len(size)) if side is not None else np.flatnonzero(size > 64):
             i, j = int(start[g]), int(start[g + 1])
-            found, many = [], 0
-            for lo in range(i, j, 512):
-                hi = min(lo + 512, j)
-                near = np.bitwise_count(t0[lo:hi, None] ^ t0[None, lo:j]) <= self.limit
+            found, kept, held, many, lo = [], [], 0, 0, i
+            while lo < j:
+                hi = min(lo + max(8, SCAN // (j - lo)), j)
+                close = np.bitwise_count(f0[lo:hi, None] ^ f0[None, lo:j]) <= self.limit
                 if side is not None:
-                    near &= side[lo:hi, None] != side[None, lo:j]
-                a, b = np.nonzero(np.triu(near, 1))
-                a, b = self._checked(a + lo, b + lo, f0, f1, t0, t1, cell)
-                many += len(a)
-                if many <= 4 * (j - i):
-                    found.append((a, b))
-                else:
+                    close &= side[lo:hi, None] != side[None, lo:j]
+                a, b = np.divmod(np.flatnonzero(close), j - lo)
+                later = a < b
+                found.append(self._near(a[later] + lo, b[later] + lo, f0, f1, t0, t1))
+                held += len(found[-1][0])
+                if held > 4 * (j - i):
+                    a, b = self._counted(*(np.concatenate(x) for x in zip(*found)), f0, f1, cell)
                     degree += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+                    many += len(a)
+                    if many <= 4 * (j - i):
+                        kept.append((a, b))
+                    found, held = [], 0
+                lo = hi
+            near += found
             if many > 4 * (j - i):
                 # dense: the links are counted, the edges thinned to a forest of all of the group
-                for a, b in found:
-                    degree += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
                 a, b = forest(f0[i:j], f1[i:j], self.limit)
                 yield _batch(EDGE, f0[i + a], f1[i + a], f0[i + b], f1[i + b])
             else:
-                edges += found
+                edges += kept
+        if near:
+            a, b = self._counted(*(np.concatenate(x) for x in zip(*near)), f0, f1, cell)
+            degree += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+            edges.append((a, b))
         if edges:
             a, b = (np.concatenate(x) for x in zip(*edges))
-            degree += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
             yield _batch(EDGE, f0[a], f1[a], f0[b], f1[b])
         some = np.flatnonzero(degree)
         yield _batch(LINKS, f0[some], f1[some], degree[some], np.zeros(len(some), np.int64))
@@ -338,10 +370,10 @@ class Verifier:
 def links(classes: DataFrame, n: int, max_distance: int = MAX_DISTANCE, recall: float = RECALL, seed: int = 11, strangers: float = STRANGERS, hot: int = HOT) -> DataFrame:
     """Table of kinds EDGE (a, b: fingerprints within max_distance, enough of them to join all) and LINKS (a, b0: links of a, in parts).
 
-    classes has the n distinct fingerprints (f0, f1).
+    classes has the n distinct fingerprints (f0, f1). recall is a floor that the grid meets whatever it is: all pairs are found.
     """
-    s, tables = grid_plan(n, max_distance, recall, strangers)
-    grid = Grid(s, tables, seed)
+    radii, tables = grid_plan(n, max_distance, recall, strangers)
+    grid = Grid(radii, tables, seed)
     verify = Verifier(grid, max_distance)
     spark = classes.sparkSession
     # some 10 bytes of a row are left by compression

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -175,3 +176,65 @@ def test_texts_that_differ_only_in_short_words_stay_apart(docs_of):
     short = lambda: " ".join("".join(rng.choice("0123456789abc") for _ in range(rng.randrange(2, 5))) for _ in range(8))
     rows = [(k, "\n".join(f"{label}: {short()}" for label in labels)) for k in range(20)]
     assert S.near_duplicates(docs_of(rows)).count() == 0
+
+
+@pytest.mark.parametrize("n", [10**3, 10**5, 236_000, 10**7, 10**9, 5 * 10**10])
+def test_no_pair_within_the_distance_misses_every_cell(n):
+    """Random differences at the limit, and differences packed into neighbouring bits or few parts."""
+    rng = np.random.default_rng(3)
+    for distance in (1, 3, S.MAX_DISTANCE):
+        grid = S.Grid(*S.grid_plan(n, distance), 11)
+        flips = np.argsort(rng.random((20_000, 128)), 1)[:, :distance]
+        flips[:5000] = (rng.integers(0, 128, (5000, 1)) + np.arange(distance)) % 128
+        order = np.argsort(np.unpackbits(np.stack([grid.m0, grid.m1], 1).view(np.uint8), axis=1), axis=1)
+        flips[5000:10_000] = order[rng.integers(0, len(order), 5000), -distance:]  # all in one mask
+        bits = np.zeros((20_000, 128), np.uint8)
+        np.put_along_axis(bits, flips, 1, 1)
+        x = np.packbits(bits, axis=1).view(np.uint64)
+        assert (grid.first(x[:, 0].copy(), x[:, 1].copy()) >= 0).all(), (n, distance)
+
+
+@pytest.mark.parametrize("radius, bits", [(0, 6), (1, 14), (2, 17), (2, 3), (3, 12)])
+def test_some_mask_misses_any_bits_that_differ(radius, bits):
+    masks = S.covering(radius, bits)
+    assert len(masks) == 2 ** (radius + 1) - 1
+    for differ in combinations(range(bits), radius):
+        assert (~masks[:, list(differ)].any(1)).any(), differ
+
+
+def least_of_group(joined):
+    """The least row that each row of a symmetric matrix is joined with, over any number of steps."""
+    label, before = np.arange(len(joined)), None
+    while before is None or (label != before).any():
+        before, label = label, np.minimum(label, np.where(joined, label, len(joined)).min(1))
+    return label
+
+
+@pytest.mark.parametrize("hot", [S.HOT, 64])
+def test_every_link_at_the_limit_is_counted(spark, hot):
+    """Pairs of fingerprints exactly at the limit and one beyond it, and dense and loose groups: the same links as all pairs."""
+    rng = np.random.default_rng(8)
+    flipped = lambda bits, k: np.logical_xor(bits, np.argsort(np.argsort(rng.random(bits.shape), 1), 1) < k)
+    lone = rng.integers(0, 2, (1500, 128)).astype(bool)
+    sparse = np.repeat(rng.integers(0, 2, (40, 128)).astype(bool), 12, 0)
+    dense = np.repeat(rng.integers(0, 2, (2, 128)).astype(bool), 120, 0)
+    bits = np.concatenate([lone, flipped(lone, 20), flipped(lone[:500], 21), flipped(sparse, 10), flipped(dense, 6)])
+    f = np.unique(np.packbits(bits, axis=1).view(np.uint64), axis=0)
+    near = sum(np.bitwise_count(f[:, None, c] ^ f[None, :, c]).astype(int) for c in (0, 1)) <= 20
+    np.fill_diagonal(near, False)
+    key = lambda f0, f1: (int(np.int64(f0)), int(np.int64(f1)))
+    want = {key(*f[i].view(np.int64)): int(k) for i, k in enumerate(near.sum(1)) if k}
+    classes = spark.createDataFrame([key(*r) for r in f.view(np.int64)], "f0 long, f1 long")
+    rows = S.links(classes, len(f), hot=hot).collect()
+    got = {}
+    for r in rows:
+        if r["kind"] == S.LINKS:
+            got[r["a0"], r["a1"]] = got.get((r["a0"], r["a1"]), 0) + r["b0"]
+    assert got == want
+    place = {key(*r): i for i, r in enumerate(f.view(np.int64))}
+    edges = np.zeros_like(near)
+    for r in rows:
+        if r["kind"] == S.EDGE:
+            edges[place[r["a0"], r["a1"]], place[r["b0"], r["b1"]]] = True
+    assert not (edges & ~near).any()
+    assert (least_of_group(edges | edges.T) == least_of_group(near)).all()
