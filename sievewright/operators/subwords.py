@@ -5,12 +5,15 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LOADED: dict = {}
+AT_ONCE = 500_000
 
 
 def printable() -> list[str]:
@@ -47,10 +50,30 @@ def bpe_ids(text: Column, vocabulary: str) -> Column:
 def bpe_pieces(text: Column, vocabulary: str) -> Column:
     """The pieces of a text, each of visible characters, as a language model's training text has them; null for a null text."""
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, names = _load(vocabulary)
-        for s in batches:
-            yield pd.Series([None if t is None else [names[k] for k in encoder.encode_ordinary(t)] for t in s], dtype=object)
+        shown = pa.array([names.get(k, "") for k in range(max(names) + 1)], pa.string())
+        for texts in batches:
+            # pieces leave in parts of some AT_ONCE and never are Python strings
+            ranks, sizes, total = [], [], 0
+            for t in texts:
+                found = encoder.encode_ordinary(t.as_py()) if t.is_valid else None
+                sizes.append(None if found is None else len(found))
+                if found:
+                    ranks.append(np.array(found, np.int32))
+                    total += len(found)
+                if total >= AT_ONCE:
+                    yield _lists(shown, ranks, sizes)
+                    ranks, sizes, total = [], [], 0
+            if sizes or not len(texts):
+                yield _lists(shown, ranks, sizes)
 
     return run(text)
+
+
+def _lists(shown: pa.Array, ranks: list[np.ndarray], sizes: list[int | None]) -> pa.Array:
+    flat = shown.take(pa.array(np.concatenate(ranks) if ranks else [], pa.int32()))
+    ends = np.cumsum([0, *(n or 0 for n in sizes)])
+    starts = [None if n is None else int(e) for n, e in zip(sizes, ends)]
+    return pa.ListArray.from_arrays(pa.array([*starts, int(ends[-1])], pa.int32()), flat)

@@ -4,10 +4,22 @@ import inspect
 
 from pyspark.sql import functions as F
 
-from sievewright.operators import extract
+from sievewright.operators import extract, subwords
+from sievewright.plans.model_plans import VOCABULARY
 
 
 def test_lexers_take_texts_one_by_one(spark):
     df = spark.createDataFrame([("# a\nx = 1\n", "python"), (None, "python"), ("// b\n", "java"), ("// b\n", "none"), ("", "java"), ("# c", None)], "s string, l string").coalesce(1)
     assert [r[0] for r in df.select(extract.comment_size(F.col("s"), F.col("l"))).collect()] == [3, None, 4, None, 0, None]
     assert "pandas_udf" not in inspect.getsource(extract.comment_size)
+
+
+def test_pieces_leave_in_parts(spark):
+    long = "word, " * (subwords.AT_ONCE // 2 + 10)
+    df = spark.createDataFrame([(0, "a b"), (1, None), (2, long), (3, ""), (4, None), (5, "c d")], "id int, t string").coalesce(1)
+    rows = {r["id"]: r for r in df.select("id", subwords.bpe_pieces(F.col("t"), VOCABULARY).alias("p")).select("id", F.size("p").alias("n"), F.slice("p", F.lit(1), F.lit(2)).alias("p")).collect()}
+    encoder, names = subwords._load(VOCABULARY)
+    assert rows[1]["p"] is None and rows[4]["p"] is None and rows[3]["p"] == [] and rows[3]["n"] == 0
+    for k, t in ((0, "a b"), (2, long), (5, "c d")):
+        found = [names[x] for x in encoder.encode_ordinary(t)]
+        assert rows[k]["n"] == len(found) and rows[k]["p"] == found[:2]
