@@ -2,12 +2,31 @@
 
 import inspect
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sievewright.operators import extract, subwords
+from sievewright.operators import extract, minhash, subwords
 from sievewright.plans.model_plans import VOCABULARY
 
 
+def test_signatures_of_many_sets_at_once():
+    a, b = minhash.permutations(16)
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 32, n, np.uint64) for n in (0, 3, 700, 0, 1, 128, 5, 0)]
+    want = [[min(((int(h) * int(x) + int(y)) % 2**64 % (2**61 - 1) & 0xFFFFFFFF for h in s), default=2**32 - 1) for x, y in zip(a, b)] for s in sets]
+    assert minhash.least_values(sets, a, b).tolist() == want
+    assert minhash.least_values([], a, b).shape == (0, 16)
+
+
+def test_signatures_leave_in_parts(spark):
+    n = 2 * minhash.SIGNED + 7
+    df = spark.range(n).select(F.concat(F.lit("i"), "id").alias("id"), F.concat(F.lit("a b c "), F.col("id") % 5).alias("text")).coalesce(1)
+    rows = minhash.signatures(df, "id", "text", 8, 1).collect()
+    assert {r["id"] for r in rows} == {f"i{k}" for k in range(n)} and len({tuple(r["signature"]) for r in rows}) <= 5
+    sizes = minhash.signatures(df, "id", "text", 8, 1, min_tokens=5).count()
+    assert sizes == 0
+
+
 def test_lexers_take_texts_one_by_one(spark):
     df = spark.createDataFrame([("# a\nx = 1\n", "python"), (None, "python"), ("// b\n", "java"), ("// b\n", "none"), ("", "java"), ("# c", None)], "s string, l string").coalesce(1)
     assert [r[0] for r in df.select(extract.comment_size(F.col("s"), F.col("l"))).collect()] == [3, None, 4, None, 0, None]
