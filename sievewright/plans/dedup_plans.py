@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievewright.functions.text import jaccard, lines, raw_tokens, sha1_hash32, shingles, token_set, tokens
+from sievewright.functions.text import jaccard, let, lines, raw_tokens, sha1_hash32, shingles, token_set, tokens
 from sievewright.operators import decontaminate, dedup, minhash, stats
 from sievewright.plans.common import sql_lines, sql_tokens, table
 
@@ -23,9 +23,11 @@ def token_hashes(spark, d):
 
 def jaccard_neighbours(spark, d):
     """Every document against the one with the next id."""
-    df = table(spark, d, "documents").select("doc_id", token_set(F.col("text")).alias("a"))
+    # texts travel, not their token sets, which take several times as much
+    df = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
     df = df.join(df.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
-    return df.select("doc_id", F.round(jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
+    both = F.struct(token_set(F.col("a")).alias("a"), token_set(F.col("b")).alias("b"))
+    return df.select("doc_id", F.round(let(both, lambda s: jaccard(s["a"], s["b"])), 9).alias("similarity"))
 
 
 def minhash_signatures(spark, d):

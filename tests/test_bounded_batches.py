@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sievewright.operators import decontaminate, extract, minhash, subwords
+from sievewright.plans import dedup_plans
 from sievewright.plans.model_plans import VOCABULARY
 
 
@@ -52,3 +53,9 @@ def test_contains_join_is_no_nested_loop(spark):
     assert sorted((r["id"], r["item"]) for r in out.collect()) == [(1, 7), (1, 8), (3, 7), (3, 8), (3, 11)]
     assert decontaminate.contains_join(docs, items.where("item = 9"), "text", "pattern").collect() == []
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_send_texts(spark):
+    plan = dedup_plans.jaccard_neighbours(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert "array_distinct" not in below
